@@ -171,11 +171,13 @@ def rank_within(
     """
     keys, by = list(keys), list(by)
     sources = sorted({src for src, _ in outputs.values()})
-    long = long_values(df, keys, sources).where(F.col("value").isNotNull())
-    ranked = tally_ranks(long, [*by, "feature"], "value")
-    hit = long.join(ranked, [*by, "feature", "value"])
+    pairs = [F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in sources]
+    long = df.select(*keys, F.explode(F.array(*pairs)).alias("__p"))
+    long = long.select(*keys, F.col("__p.f").alias("__src"), F.col("__p.v").alias("__val")).where("__val is not null")
+    ranked = tally_ranks(long, [*by, "__src"], "__val")
+    hit = long.join(ranked, [*by, "__src", "__val"])
     aggs = [
-        F.max(F.when(F.col("feature") == src, rule(F.col("below"), F.col("ties"), F.col("n")))).alias(out)
+        F.max(F.when(F.col("__src") == src, rule(F.col("below"), F.col("ties"), F.col("n")))).alias(out)
         for out, (src, rule) in outputs.items()
     ]
     return df.join(hit.groupBy(*keys).agg(*aggs), keys, "left")
