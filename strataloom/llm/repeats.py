@@ -197,11 +197,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = chunks or chunk_count(docs)
     base = chunked(docs, id_col, text_col, chunks)
 
-    def seeds(key, table: pa.Table) -> pa.Table:
+    def seeds(key, table):
         _, _, found = anchors(Words(table["text"]), window, seed)
         return sent(key[0].as_py(), np.unique(found), None, chunks)
 
-    def extended(key, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def extended(key, table, answers):
         words = Words(table["text"])
         at, _, found = anchors(words, window, seed)
         own = ids_of(table["id"])[words.text_of_word()[at]]
@@ -209,7 +209,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         keys, least = _least(grams(words.hashes(), window)[at[near]], own[near])
         return sent(key[0].as_py(), keys, least, chunks)
 
-    def cut(key, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def cut(key, table, answers):
         return _cut(table, _told(answers), window)
 
     shared = base.groupBy("chunk").applyInArrow(seeds, SENT).groupBy("bucket").applyInArrow(held_elsewhere, TOLD)
