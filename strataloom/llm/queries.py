@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.llm import mixing, quality
+from strataloom.llm.decontaminate import contaminated
 from strataloom.llm.repeats import remove_repeats
+from strataloom.llm.sharding import shard_documents
 from strataloom.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -22,6 +25,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_mixing", mixing.SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf, "documents")).drop("source")
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.train(docs, labels.where(~quality.held_out()))
+    scored = quality.with_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    out = shard_documents(table(spark, sf, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     out = remove_repeats(table(spark, sf, "documents"))
