@@ -29,7 +29,7 @@ def _points(seeds: np.ndarray, weights: np.ndarray, low: float, high: float, siz
     live = np.flatnonzero(first <= until)
     at = 0
     mean = rate * until
-    draws = int(mean + 8 * math.sqrt(mean) + 12)
+    draws = int(mean + 1.5 * math.sqrt(mean)) + 2
     while at < len(live):
         pick = live[at : at + max(1, 200_000 // draws)]
         at += len(pick)
