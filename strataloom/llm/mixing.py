@@ -82,6 +82,30 @@ def mix_sources(
     return out.withColumnRenamed("id", id_col).withColumnRenamed("source", source_col)
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents of the mix, all their columns: each stands as often as the mix takes its words, rounded half up.
+
+    Documents without words, and those of which the mix takes less than half, are not in it.
+    """
+    own = Window.partitionBy("__id", "__source", "__size")
+    told = mix_sources(docs, id_col, text_col, source_col, **options).where("taken > 0")
+    told = told.select(
+        F.col(id_col).alias("__id"),
+        F.col(source_col).alias("__source"),
+        F.col("size").alias("__size"),
+        F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__turns"),
+        F.row_number().over(Window.partitionBy(id_col, source_col, "size").orderBy("taken", "mix_start")).alias("__copy"),
+    )
+    keyed = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": word_count(F.col(text_col))})
+    keyed = keyed.withColumn("__copy", F.row_number().over(own.orderBy(F.xxhash64(text_col))))
+    same = None
+    for c in ("__id", "__source", "__size", "__copy"):
+        test = keyed[c].eqNullSafe(told[c])
+        same = test if same is None else same & test
+    joined = keyed.join(told, same).where("__turns > 0")
+    return joined.select(*[keyed[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__turns"))).alias("__turn")).drop("__turn")
+
+
 #: The rows of mix_sources over `documents` at its usual parameters.
 SQL = r"""
 WITH sized AS (
