@@ -47,8 +47,3 @@ def keyed_uniform(*parts: str | Column | int) -> Column:
     """Uniform double strictly inside (0, 1)."""
     return (keyed_hash(*parts).cast("double") + 0.5) / F.lit(HASH_SPAN)
 
-
-def text_axis(c: str | Column) -> Column:
-    """A number that never decreases with the byte order of the text; used to cut key ranges."""
-    head = F.substring(F.encode(as_col(c).cast("string"), "utf-8"), 1, 7)
-    return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("double")

@@ -24,22 +24,24 @@ def asof_join(
     """For each left row the nearest right row of the same key before (or after) it.
 
     ``right`` is unique on (by, right_on). Adds ``payload`` and ``right_on``, null when there is no match
-    or it is further away than ``tolerance`` (an interval text such as '7 days').
+    or it is further away than ``tolerance`` (an interval text such as '7 days'). Rows with a null key or
+    stamp stay without a match.
 
-    Left probes are reduced to distinct (by, left_on) before the window, so repeated probes cost nothing.
-    ``bucket`` (a date_trunc unit) bounds a task to one bucket of one key: only the last (first) right row
-    of every bucket is carried across buckets. Without it a key's whole series is one window, which is
-    right for series bounded by the calendar (one row per day).
+    Both sides are laid into one frame and scanned once, so each side is read once and a chain of lookups
+    grows by one window each. ``bucket`` (a date_trunc unit) bounds a task to one bucket of one key: only the
+    last (first) right row of every bucket is carried across buckets. Without it a key's whole series is
+    one window, which is right for series bounded by the calendar (one row per day).
     """
     by = list(by)
     back = direction == "backward"
-    item = F.struct(F.col(right_on).alias("__at"), *[F.col(c) for c in payload])
+    item = F.struct(F.col(right_on).alias("__at"), *[F.col(c).alias(c) for c in payload])
     # 0 before 1 in the scan order decides whether an equal stamp is visible.
-    right_first = allow_exact
-    rows_r = right.select(*by, F.col(right_on).alias("__t"), F.lit(0 if right_first else 1).alias("__o"), item.alias("__v"))
-    rows_l = left.select(*by, F.col(left_on).alias("__t")).distinct().withColumn("__o", F.lit(1 if right_first else 0))
+    order = 0 if allow_exact else 1
+    rows_r = right.select(*by, F.col(right_on).alias("__t"), F.lit(order).alias("__o"), item.alias("__v"))
+    rows_r = rows_r.where(F.col("__t").isNotNull())
+    whole = F.struct(*[F.col(c).alias(c) for c in left.columns])
+    rows_l = left.select(*by, F.col(left_on).alias("__t"), F.lit(1 - order).alias("__o"), whole.alias("__l"))
     rows = rows_r.unionByName(rows_l, allowMissingColumns=True)
-    rows = rows.where(F.col("__t").isNotNull())
     t = F.col("__t").asc() if back else F.col("__t").desc()
     if bucket is None:
         span = W.partitionBy(*by).orderBy(t, "__o").rowsBetween(W.unboundedPreceding, 0)
@@ -54,14 +56,15 @@ def asof_join(
         carry = F.last("__e", ignorenulls=True).over(W.partitionBy(*by).orderBy(b).rowsBetween(W.unboundedPreceding, -1))
         edge = edge.select(*by, "__b", carry.alias("__c"))
         span = W.partitionBy(*by, "__b").orderBy(t, "__o").rowsBetween(W.unboundedPreceding, 0)
-        seen = rows.withColumn("__hit", F.last("__v", ignorenulls=True).over(span)).join(edge, [*by, "__b"])
+        seen = rows.withColumn("__hit", F.last("__v", ignorenulls=True).over(span)).join(edge, [*by, "__b"], "left")
         seen = seen.withColumn("__hit", F.coalesce("__hit", "__c"))
-    probes = seen.where(F.col("__v").isNull()).select(*by, F.col("__t").alias(left_on), "__hit")
-    out = left.join(probes, [*by, left_on], "left")
     ok = F.col("__hit").isNotNull()
+    for c in [*by, "__t"]:
+        ok = ok & F.col(c).isNotNull()
     if tolerance:
         gap = F.expr(f"interval {tolerance}")
         at = F.col("__hit.__at")
-        ok = ok & ((at >= F.col(left_on) - gap) if back else (at <= F.col(left_on) + gap))
+        ok = ok & ((at >= F.col("__t") - gap) if back else (at <= F.col("__t") + gap))
     picked = [F.when(ok, F.col(f"__hit.{c}")).alias(c) for c in payload]
-    return out.select(*left.columns, *picked, F.when(ok, F.col("__hit.__at")).alias(right_on))
+    out = seen.where(F.col("__l").isNotNull())
+    return out.select(*[F.col(f"__l.{c}").alias(c) for c in left.columns], *picked, F.when(ok, F.col("__hit.__at")).alias(right_on))

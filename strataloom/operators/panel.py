@@ -222,6 +222,7 @@ def key_mismatch(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def attach_target(df: DataFrame, targets: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Replace the target from another table; refuses unless both key sets are identical and unique."""
+    assert_unique(df, keys)
     assert_unique(targets, keys)
     counts = key_mismatch(df, targets, keys).first()
     if counts["only_left"] or counts["only_right"]:
@@ -317,14 +318,17 @@ def rejection_counts(valued: DataFrame) -> DataFrame:
 
 
 def next_period_label(df: DataFrame, entity: str, period: str, income: str, period_return: str | None = None) -> DataFrame:
-    """1 when income grows to the next observed period (and the period's return, when known, is positive)."""
+    """1 when income grows to the next observed period (and the period's return, when known, is positive).
+
+    Rows without a next period, or with a missing income on either side, have no label and are left out.
+    """
     w = W.partitionBy(entity).orderBy(period)
-    nxt = F.lead(income).over(w)
-    out = df.withColumn("next_period", F.lead(period).over(w)).withColumn("__g", nxt > F.col(income))
-    ok = F.col("__g")
+    out = df.withColumn("next_period", F.lead(period).over(w)).withColumn("__next", F.lead(income).over(w))
+    out = out.where(F.col("next_period").isNotNull() & F.col("__next").isNotNull() & F.col(income).isNotNull())
+    ok = F.col("__next") > F.col(income)
     if period_return:
         ok = ok & (F.col(period_return).isNull() | (F.col(period_return) > 0))
-    return out.withColumn("label", ok.cast("int")).drop("__g").where("label is not null")
+    return out.withColumn("label", ok.cast("int")).drop("__next")
 
 
 def rank_invariance(df: DataFrame, keys: Sequence[str], period: str, a: str, b: str) -> DataFrame:
@@ -400,9 +404,11 @@ def year_overview(scored: DataFrame, entity: str, period: str, score: str, ret:
     """Per row: score and return ranks, benchmark, gap to the period's best return."""
     out = rank_within(scored, [entity, period], [period], {"score_rank": (score, min_rank_desc), "return_rank": (ret, min_rank_desc)})
     best = scored.where(F.col(ret).isNotNull()).groupBy(period).agg(
-        F.max(ret).alias("best_return"), F.max(F.struct(F.col(ret), (-F.col(entity)).alias("e"))).alias("__b"),
+        F.max(ret).alias("best_return"),
+        # equal returns: the entity first in order, of whatever type
+        F.min(F.struct((-F.col(ret)).alias("r"), F.col(entity).alias("e"))).alias("__b"),
         F.count(F.lit(1)).alias("n_returns"),
-    ).withColumn("best_entity", -F.col("__b.e")).drop("__b")
+    ).withColumn("best_entity", F.col("__b.e")).drop("__b")
     out = out.join(best, period, "left").join(bench, period, "left")
     return out.withColumns(
         {

@@ -41,11 +41,15 @@ def first_after(grid: DataFrame, prices: DataFrame, at: str, cols: Sequence[str]
 
 
 def _probe_window(grid: DataFrame, at: str, events: DataFrame, date: str, value: Column, frame, out: str) -> DataFrame:
-    """Evaluate a window expression at distinct (symbol, at) probes placed among dated events."""
-    probes = grid.select("symbol", F.col(at).alias("__d")).where(F.col("__d").isNotNull()).distinct().withColumn("__p", F.lit(True))
+    """Evaluate a window expression at every grid row, placed among dated events; each side is read once.
+
+    Null where the row has no symbol or no date.
+    """
+    whole = F.struct(*[F.col(c).alias(c) for c in grid.columns])
+    probes = grid.select("symbol", F.col(at).alias("__d"), F.lit(True).alias("__p"), whole.alias("__l"))
     rows = probes.unionByName(events.select("symbol", F.col(date).alias("__d"), value.alias("__x")), allowMissingColumns=True)
-    seen = rows.withColumn(out, frame).where("__p").select("symbol", F.col("__d").alias(at), out)
-    return grid.join(seen, ["symbol", at], "left")
+    seen = rows.withColumn(out, F.when(F.col("symbol").isNotNull() & F.col("__d").isNotNull(), frame)).where("__p")
+    return seen.select(*[F.col(f"__l.{c}").alias(c) for c in grid.columns], out)
 
 
 def split_factor(grid: DataFrame, splits: DataFrame, at: str, out: str = "split_factor") -> DataFrame:
@@ -163,18 +167,28 @@ def pit_market_value(
 
 
 def price_panel(
-    grid: DataFrame, prices: DataFrame, splits: DataFrame, shares: DataFrame, jumps: DataFrame, bench: DataFrame, bench_jumps: DataFrame, bench_symbol: object
+    grid: DataFrame,
+    prices: DataFrame,
+    splits: DataFrame,
+    shares: DataFrame,
+    jumps: DataFrame,
+    raw_prices: DataFrame,
+    raw_jumps: DataFrame,
+    bench: DataFrame,
+    bench_jumps: DataFrame,
+    bench_symbol: object,
 ) -> DataFrame:
     """Symbol x fiscal year panel at its cutoffs. grid: symbol, fiscal_year, cutoff, next_cutoff.
 
-    ``bench`` is one daily series (symbol, date, close) named ``bench_symbol``.
+    Targets, momentum and drawdown come from the adjusted ``prices`` and their jumps; market value from the
+    ``raw_prices`` and theirs. ``bench`` is one daily series (symbol, date, close) named ``bench_symbol``.
     """
     g = target_window(grid, prices, jumps, "cutoff", "next_cutoff")
     g = last_on_or_before(g, prices, "cutoff", prefix="asof_").drop("asof_close")
     g = trailing_return(g, prices, jumps, "cutoff", 1, "momentum_1y")
     g = trailing_return(g, prices, jumps, "cutoff", 2, "momentum_2y")
     g = drawdown_from_high(g, prices, jumps, "cutoff", 3, "drawdown_3y")
-    g = pit_market_value(g, prices, splits, shares, jumps, "cutoff")
+    g = pit_market_value(g, raw_prices, splits, shares, raw_jumps, "cutoff")
     probe = grid.select("cutoff").distinct().withColumn("symbol", F.lit(bench_symbol))
     b = trailing_return(probe, bench, bench_jumps, "cutoff", 1, "benchmark_1y").select("cutoff", "benchmark_1y")
     return g.join(b, "cutoff", "left").withColumn("relative_1y", F.col("momentum_1y") - F.col("benchmark_1y"))
@@ -327,13 +341,13 @@ def _by_year(regimes: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def interval_join(df: DataFrame, regimes: DataFrame, date: str, start: str, end: str, label: str) -> DataFrame:
-    """Label of the inclusive interval holding the date; null without one; ``n_matches`` > 1 is an overlap.
+    """Label of the inclusive interval holding the date; null without one, and where intervals overlap (``n_matches`` > 1).
 
     Only distinct dates meet the intervals, cut by calendar year, through an equi-join.
     """
     days = df.select(F.col(date).alias("__d")).where("__d is not null").distinct().withColumn("__y", F.year("__d"))
     hit = days.join(_by_year(regimes, start, end), "__y").where(F.col("__d").between(F.col(start), F.col(end)))
-    found = hit.groupBy("__d").agg(F.min(label).alias(label), F.count(F.lit(1)).alias("n_matches"))
+    found = hit.groupBy("__d").agg(F.when(F.count(F.lit(1)) == 1, F.min(label)).alias(label), F.count(F.lit(1)).alias("n_matches"))
     out = df.join(found, F.col(date) == F.col("__d"), "left").drop("__d")
     return out.withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
 

@@ -202,7 +202,9 @@ def table_checks(df: DataFrame, entity: str, period: str, expected: Sequence[int
 
 
 def row_digest(cols: Sequence[str]) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols]), 256)
+    """Digest of a row as JSON with its nulls, so that no text can stand for a null or for two fields."""
+    fields = F.struct(*[F.col(c).cast("string").alias(c) for c in cols])
+    return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)
 
 
 def table_digest(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -229,10 +231,10 @@ def freeze(df: DataFrame, by: Sequence[str], cols: Sequence[str], rank: str) ->
 
 def manifest_diff(recorded: DataFrame, current: DataFrame, key: str = "path") -> DataFrame:
     """(path, status): missing, added, changed or equal by digest."""
-    a = recorded.select(key, F.col("digest").alias("d1"))
-    b = current.select(key, F.col("digest").alias("d2"))
+    a = recorded.select(key, F.col("digest").alias("d1"), F.lit(True).alias("in1"))
+    b = current.select(key, F.col("digest").alias("d2"), F.lit(True).alias("in2"))
     status = (
-        F.when(F.col("d2").isNull(), "missing").when(F.col("d1").isNull(), "added").when(F.col("d1") != F.col("d2"), "changed").otherwise("equal")
+        F.when(F.col("in2").isNull(), "missing").when(F.col("in1").isNull(), "added").when(F.col("d1").eqNullSafe(F.col("d2")), "equal").otherwise("changed")
     )
     return a.join(b, key, "full").select(key, status.alias("status"))
 
@@ -244,27 +246,37 @@ def ledger_hash(previous: Column, body: Column) -> Column:
 GENESIS = "0" * 64
 
 
-def ledger_verify(df: DataFrame, ledger: str, seq: str, slice_rows: int = 100_000) -> DataFrame:
+def ledger_verify(df: DataFrame, ledger: str, seq: str, time: str | None = None) -> DataFrame:
     """Per ledger: lines, and the first failing line with its code.
 
-    Lines: event_id, previous_hash, body, hash. A line's predecessor is found by an equi-join on the
-    line number, so one long ledger is spread over all tasks.
+    Lines: event_id, previous_hash, body, hash and, if named, a time that never goes back. Line numbers run from 1
+    without gaps. Only the first line may point to the genesis; a null in any field fails. A line's predecessor
+    is found by an equi-join on the line number, so one long ledger is spread over all tasks.
     """
-    prev = df.select(ledger, (F.col(seq) + 1).alias(seq), F.col("hash").alias("__ph"))
+    extra = [F.col(time).alias("__pt")] if time else []
+    prev = df.select(ledger, (F.col(seq) + 1).alias(seq), F.col("hash").alias("__ph"), F.lit(True).alias("__has"), *extra)
+    prev = prev.dropDuplicates([ledger, seq])
     dup = df.groupBy(ledger, "event_id").agg(F.min(seq).alias("__first"))
-    j = df.join(prev, [ledger, seq], "left").join(dup, [ledger, "event_id"], "left")
+    twice = df.groupBy(ledger, seq).agg(F.count(F.lit(1)).alias("__lines"))
+    j = df.join(prev, [ledger, seq], "left").join(dup, [ledger, "event_id"], "left").join(twice, [ledger, seq], "left")
+    first = F.col(seq) == 1
     code = (
         F.when(F.col("event_id").isNull(), "missing_event_id")
+        .when(F.col("previous_hash").isNull() | F.col("body").isNull() | F.col("hash").isNull() | F.col(seq).isNull(), "missing_field")
+        .when((F.col("__lines") > 1) | (F.col(seq) < 1), "bad_line_number")
         .when(F.col(seq) != F.col("__first"), "duplicate_event_id")
-        .when(F.col("previous_hash") != F.coalesce("__ph", F.lit(GENESIS)), "broken_link")
+        .when(~first & F.col("__has").isNull(), "missing_line")
+        .when(F.when(first, F.col("previous_hash") != GENESIS).otherwise(~F.col("previous_hash").eqNullSafe(F.col("__ph"))), "broken_link")
         .when(F.col("hash") != ledger_hash(F.col("previous_hash"), F.col("body")), "hash_mismatch")
     )
-    j = j.withColumn("__code", code)
+    if time:
+        code = code.when(F.col(time).isNull() | F.coalesce(F.col(time) < F.col("__pt"), F.lit(False)), "time_goes_back")
+    j = j.withColumn("__code", code).withColumn("__line", F.coalesce(F.col(seq), F.lit(0)))
     bad = F.col("__code").isNotNull()
     return j.groupBy(ledger).agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.min(F.when(bad, F.col(seq))).alias("first_bad_line"),
-        F.min_by("__code", F.when(bad, F.col(seq))).alias("code"),
+        F.min(F.when(bad, F.col("__line"))).alias("first_bad_line"),
+        F.min_by("__code", F.when(bad, F.struct("__line", "__code"))).alias("code"),
     )
 
 
@@ -278,7 +290,7 @@ def validate_outcomes(frozen: DataFrame, outcomes: DataFrame, entity: str, lo: C
     j = outcomes.join(dup, entity, "left").join(known, entity, "left")
     recomputed = (F.try_divide("end_price", "start_price") - 1) * 100
     code = (
-        F.when(F.col(entity).isNull(), "blank_entity")
+        F.when(F.col(entity).isNull() | (F.trim(F.col(entity).cast("string")) == ""), "blank_entity")
         .when(F.col("__n") > 1, "duplicate_entity")
         .when(F.col("__k").isNull(), "unknown_entity")
         .when(F.col("return_pct").isNull(), "non_numeric_return")
@@ -287,4 +299,4 @@ def validate_outcomes(frozen: DataFrame, outcomes: DataFrame, entity: str, lo: C
         .when(~F.coalesce((F.col("start_price") > 0) & (F.col("end_price") > 0), F.lit(False)), "non_positive_price")
         .when(F.abs(F.col("return_pct") - recomputed) > tolerance * F.greatest(F.lit(1.0), F.abs(recomputed)), "return_mismatch")
     )
-    return j.drop("__n", "__k").withColumn("code", code)
+    return j.withColumn("code", code).drop("__n", "__k")

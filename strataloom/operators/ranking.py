@@ -1,15 +1,13 @@
 """Exact ranks, positions, quantiles and running totals inside groups of any size.
 
 A window partitioned by period alone sends a whole period to one task. Everything here works on
-*tallies* (distinct values with counts, combined map-side) and cuts a large group into value ranges:
+*tallies* (distinct values with counts, combined map-side), which are range-partitioned by group and
+value: Spark samples the keys themselves, so a group of any size, with any kind of key, is cut into as many
+even ranges as its rows fill. A running sum inside (group, range) plus the totals of the group's ranges
+before it gives the position.
 
-1. ``spread``  - one row per group: distinct values, minimum, maximum;
-2. ``cells``   - equal-width ranges, only for groups above ``CELL_ROWS`` distinct values;
-3. ``slices``  - the same again inside a cell that is still above the limit (heavy tails);
-4. a running sum inside (group, cell, slice) plus the totals of the ranges before it.
-
-The ranges only decide where the work happens; any cut gives the same exact result. For groups below the
-limit steps 2 and 3 are empty at run time and adaptive execution drops their joins.
+The ranged tally is written to the checkpoint folder once. It fixes the ranges for both of its readers, and it ends
+the plan: what is ranked is read once, however many ranks are built on each other.
 """
 
 from __future__ import annotations
@@ -18,15 +16,10 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from strataloom.functions.keys import HASH_SPAN, text_axis
 from strataloom.functions.numbers import as_col
-
-CELL_ROWS = 200_000
-MAX_CELLS = 8192
-
+from strataloom.session import cut_lineage
 
 def rank_input(c: str | Column, digits: int = 9) -> Column:
     """Computed doubles are rounded before ranking, so that ties do not depend on summation order."""
@@ -38,73 +31,20 @@ def _before(w: str, part: Sequence[str], order: str) -> Column:
     return F.coalesce(F.sum(w).over(span), F.lit(0))
 
 
-def cumulate(
-    dist: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    axis: str | Column,
-    weight: str | None = None,
-    cell_rows: int | None = None,
-) -> DataFrame:
+def cumulate(dist: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | None = None) -> DataFrame:
     """Add ``below`` (weight of the rows ordered before) and ``n`` (weight of the group).
 
-    ``order`` must be unique inside a group; ``axis`` is a number that never decreases along ``order``.
-    Group columns must not be null.
+    ``order`` must be unique inside a group. Group columns must not be null.
     """
-    limit = cell_rows or CELL_ROWS
     by = list(by)
-    src = dist.withColumn("__axis", as_col(axis).cast("double"))
-    src = src.withColumn("__w", F.col(weight) if weight else F.lit(1).cast("bigint"))
-    spread = src.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.min("__axis").alias("__lo"),
-        F.max("__axis").alias("__hi"),
-        F.sum("__w").alias("n"),
-    )
-    n_cells = F.least(F.ceil(F.col("__rows") / limit) * 4, F.lit(MAX_CELLS)).cast("bigint")
-    in_cell = F.width_bucket("__axis", F.col("__lo"), F.col("__hi"), n_cells)
-    split = (F.col("__rows") > limit) & (F.col("__hi") > F.col("__lo"))
-    placed = src.join(spread, by).withColumn("__cell", F.when(split, in_cell).otherwise(F.lit(0).cast("bigint")))
-
-    cells = (
-        placed.where(F.col("__rows") > limit)
-        .groupBy(*by, "__cell")
-        .agg(
-            F.sum("__w").alias("__cw"),
-            F.count(F.lit(1)).alias("__cr"),
-            F.min("__axis").alias("__clo"),
-            F.max("__axis").alias("__chi"),
-        )
-    )
-    cells = cells.select(
-        *by,
-        "__cell",
-        "__clo",
-        "__chi",
-        _before("__cw", by, "__cell").alias("__cb"),
-        F.when(
-            (F.col("__cr") > limit) & (F.col("__chi") > F.col("__clo")),
-            F.least(F.ceil(F.col("__cr") / limit) * 4, F.lit(MAX_CELLS)).cast("bigint"),
-        ).alias("__cn"),
-    )
-    placed = placed.join(cells, [*by, "__cell"], "left")
-    in_slice = F.width_bucket("__axis", F.col("__clo"), F.col("__chi"), F.col("__cn"))
-    placed = placed.withColumn("__slice", F.when(F.col("__cn").isNotNull(), in_slice).otherwise(F.lit(0).cast("bigint")))
-    slices = (
-        placed.where(F.col("__cn").isNotNull()).groupBy(*by, "__cell", "__slice").agg(F.sum("__w").alias("__sw"))
-    )
-    slices = slices.select(*by, "__cell", "__slice", _before("__sw", [*by, "__cell"], "__slice").alias("__sb"))
-    placed = placed.join(slices, [*by, "__cell", "__slice"], "left")
-
-    inside = W.partitionBy(*by, "__cell", "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    zero = F.lit(0)
-    return placed.select(
-        *dist.columns,
-        (
-            F.sum("__w").over(inside) - F.col("__w") + F.coalesce("__cb", zero) + F.coalesce("__sb", zero)
-        ).alias("below"),
-        "n",
-    )
+    src = dist.withColumn("__w", F.col(weight) if weight else F.lit(1).cast("bigint"))
+    ranged = cut_lineage(src.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "__range").agg(F.sum("__w").alias("__rw"))
+    group = W.partitionBy(*by)
+    totals = totals.select(*by, "__range", _before("__rw", by, "__range").alias("__base"), F.sum("__rw").over(group).alias("n"))
+    inside = W.partitionBy(*by, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    placed = ranged.join(totals, [*by, "__range"])
+    return placed.select(*dist.columns, (F.sum("__w").over(inside) - F.col("__w") + F.col("__base")).alias("below"), "n")
 
 
 def tally(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -114,7 +54,7 @@ def tally(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def tally_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by, value, ties, below, n): everything needed for any tie rule."""
-    return cumulate(tally(df, by, value), by, [value], value, "ties")
+    return cumulate(tally(df, by, value), by, [value], "ties")
 
 
 # Rank formulas over (below, ties, n). Ascending unless named otherwise.
@@ -188,17 +128,13 @@ def pct_rank(df: DataFrame, keys: Sequence[str], by: Sequence[str], cols: Sequen
     return rank_within(df, keys, by, {f"{c}{suffix}": (c, pct_average) for c in cols})
 
 
-def _axis_of(df: DataFrame, col: str) -> Column:
-    return text_axis(col) if isinstance(df.schema[col].dataType, T.StringType) else F.col(col).cast("double")
-
-
 def ordinal(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str, descending: bool = True) -> DataFrame:
     """Unique rank 1..n by ``value`` (null rows are dropped) with ``tie`` ascending inside equal values."""
     rows = df.where(F.col(value).isNotNull())
     ranked = tally_ranks(rows, by, value)
     ahead = F.col("n") - F.col("below") - F.col("ties") if descending else F.col("below")
     ranked = ranked.select(*by, value, ahead.alias("__ahead"))
-    spot = cumulate(rows, [*by, value], [tie], _axis_of(df, tie)).drop("n").withColumnRenamed("below", "__in_tie")
+    spot = cumulate(rows, [*by, value], [tie]).drop("n").withColumnRenamed("below", "__in_tie")
     return (
         spot.join(ranked, [*by, value])
         .withColumn(out, (F.col("__ahead") + F.col("__in_tie") + 1).cast("bigint"))
@@ -208,29 +144,13 @@ def ordinal(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str, de
 
 def key_positions(df: DataFrame, by: Sequence[str], key: str, out: str = "slot") -> DataFrame:
     """Number the rows of a group 1..n by a key that is unique inside it; also adds ``n``."""
-    placed = cumulate(df, by, [key], _axis_of(df, key))
+    placed = cumulate(df, by, [key])
     return placed.withColumn(out, (F.col("below") + 1).cast("bigint")).drop("below")
 
 
-def hash_positions(
-    df: DataFrame, by: Sequence[str], hashed: str, tie: str, size: str, out: str, cell_rows: int | None = None
-) -> DataFrame:
-    """Position 1..n in the order of a 60-bit uniform hash; ``size`` is the group size column.
-
-    The hash is uniform, so equal slices of its range are equal shares of the group: no statistics pass.
-    """
-    limit = cell_rows or CELL_ROWS
-    cells = F.ceil(F.col(size) / limit)
-    cell = F.floor(F.col(hashed) / F.lit(HASH_SPAN) * cells).cast("bigint")
-    rows = df.withColumn("__cell", cell)
-    counts = rows.where(F.col(size) > limit).groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("__cw"))
-    counts = counts.select(*by, "__cell", _before("__cw", by, "__cell").alias("__cb"))
-    inside = W.partitionBy(*by, "__cell").orderBy(hashed, tie)
-    return (
-        rows.join(counts, [*by, "__cell"], "left")
-        .withColumn(out, F.row_number().over(inside) + F.coalesce("__cb", F.lit(0)))
-        .drop("__cell", "__cb")
-    )
+def hash_positions(df: DataFrame, by: Sequence[str], hashed: str, tie: str, out: str) -> DataFrame:
+    """Position 1..n of the rows of a group in the order of a hash."""
+    return cumulate(df, by, [hashed, tie]).withColumn(out, (F.col("below") + 1).cast("bigint")).drop("below", "n")
 
 
 def group_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:

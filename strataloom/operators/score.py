@@ -24,6 +24,7 @@ from strataloom.operators.ranking import (
     share_below,
     share_below_others,
     tally,
+    tally_ranks,
     with_group_stats,
 )
 
@@ -386,11 +387,11 @@ def dominant_category(strength: DataFrame, sector: str, ret: str, entity: str, p
     Rows are ordered by return over the whole sector, whatever its size.
     """
     rows = strength.where(F.col(ret).isNotNull() & F.col(sector).isNotNull())
-    rows = rows.withColumn("__id", F.col(entity) * 100000 + F.col(period))
-    placed = ordinal(rows, [sector], ret, "__id", "__pos")
+    rows = rows.withColumn("__row", F.struct(entity, period))
+    placed = ordinal(rows, [sector], ret, "__row", "__pos")
     placed = with_group_stats(placed, [sector], F.count(F.lit(1)).alias("__n"))
     best = placed.where((F.col("__n") >= 3) & (F.col("__pos") <= F.greatest(F.lit(1), F.floor(F.col("__n") / 4))))
-    long = long_values(best, [sector, "__id"], list(METRIC_CATEGORIES))
+    long = long_values(best, [sector], list(METRIC_CATEGORIES))
     mean = long.groupBy(sector, "feature").agg(F.round(F.avg("value"), 3).alias("strength"), F.count(F.lit(1)).alias("n_top"))
     first = list(METRIC_CATEGORIES)
     pos = F.array_position(F.array(*[F.lit(c) for c in first]), F.col("feature"))
@@ -522,32 +523,41 @@ def confidence_label(c: str | Column) -> Column:
     return F.when(v >= 0.80, "high").when(v >= 0.50, "medium").when(v.isNotNull(), "low")
 
 
-def label_preview(scores: DataFrame, score: str, debt: str, threshold: float, kind: str) -> DataFrame:
-    """Balance of labels under a rule: absolute, sector_median, upper_quartile or risk_adjusted. One row."""
-    rows = scores.where(F.col(score).isNotNull()).withColumn("__g", F.lit(1))
-    mid = group_quantiles(rows, ["__g"], score, {"median_score": 0.5}).drop("n")
-    p75 = group_order_stats(rows, ["__g"], score, {"p75_score": 0.75}).drop("n")
-    rows = rows.join(mid, "__g").join(p75, "__g")
-    s = F.col(score)
-    hit = {
+LABEL_RULES = ("absolute", "sector_median", "upper_quartile", "risk_adjusted")
+
+
+def label_distribution(scores: DataFrame, score: str, debt: str, threshold: float) -> DataFrame:
+    """Balance of labels under each of ``LABEL_RULES``, one row a rule.
+
+    Median and upper quartile come from one ranked tally, and one conditional aggregate counts all rules.
+    """
+    rows = scores.where(F.col(score).isNotNull()).select(F.lit(1).alias("__g"), F.col(score).alias("__s"), F.col(debt).alias("__d"))
+    ranked = tally_ranks(rows, ["__g"], "__s")
+    holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("ties"))
+    at = lambda k: F.max(F.when(holds(k), F.col("__s")))
+    half = (F.col("n") - 1) * F.lit(0.5)
+    edges = ranked.agg(
+        ((at(F.floor(half)) + at(F.ceil(half))) / 2).alias("median_score"), at(F.floor(F.col("n") * F.lit(0.75))).alias("p75_score")
+    ).withColumn("__g", F.lit(1))
+    s = F.col("__s")
+    hits = {
         "absolute": s >= threshold,
         "sector_median": s >= F.col("median_score"),
         "upper_quartile": s >= F.col("p75_score"),
-        "risk_adjusted": (s >= threshold) & (F.coalesce(F.col(debt), F.lit(1.0)) <= 0.7),
-    }[kind]
-    out = rows.agg(
+        "risk_adjusted": (s >= threshold) & (F.coalesce("__d", F.lit(1.0)) <= 0.7),
+    }
+    # the edges are one row whatever the input
+    counted = rows.join(F.broadcast(edges), "__g").agg(
         F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(hit).alias("positive_count"),
         F.max("median_score").alias("median_score"),
         F.max("p75_score").alias("p75_score"),
+        *[F.count_if(hits[r]).alias(r) for r in LABEL_RULES],
     )
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("positive_count")) for r in LABEL_RULES]))
+    out = counted.select("total_rows", "median_score", "p75_score", each.alias("r")).select("total_rows", "median_score", "p75_score", "r.*")
     rate = F.try_divide("positive_count", "total_rows")
     return out.withColumns(
-        {
-            "negative_count": F.col("total_rows") - F.col("positive_count"),
-            "positive_rate": rate,
-            "imbalance_warning": F.abs(rate - 0.5) > 0.35,
-        }
+        {"negative_count": F.col("total_rows") - F.col("positive_count"), "positive_rate": rate, "imbalance_warning": F.abs(rate - 0.5) > 0.35}
     )
 
 

@@ -44,18 +44,21 @@ def _(spark, sf):
 
 @query(
     "year_end_quote",
-    f"""WITH {P.PRICES}, g AS (SELECT s_suppkey AS symbol, CAST(y AS INTEGER) AS year FROM supplier, range(1992, 2003) t(y)),
-l AS (SELECT symbol, CAST(year(date) AS INTEGER) AS year, max(date) AS quote_date, arg_max(close, date) AS close FROM prices GROUP BY 1, 2)
-SELECT g.symbol, g.year, l.quote_date, l.close, l.close AS adjclose,
-  CASE WHEN l.close IS NULL THEN 'error' ELSE 'success' END AS status FROM g LEFT JOIN l USING (symbol, year)""",
+    f"""WITH {P.PRICES}, b AS (SELECT year(min(date)) - 1 AS lo, year(max(date)) + 1 AS hi FROM prices), g AS (SELECT s_suppkey AS symbol, CAST(y AS INTEGER) AS year, make_date(y, 12, 31) AS at FROM supplier, (SELECT unnest(range(lo, hi + 1)) AS y FROM b))
+SELECT g.symbol, g.year, p.date AS quote_date, p.close, p.close AS adjclose,
+  CASE WHEN p.close IS NULL THEN 'error' ELSE 'success' END AS status FROM g ASOF LEFT JOIN prices p ON p.symbol = g.symbol AND p.date <= g.at""",
 )
 def _(spark, sf):
     p = P.daily_prices(spark, sf).withColumn("adjclose", F.lit(None).cast("double"))
-    grid = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("symbol"), F.explode(F.sequence(F.lit(1992), F.lit(2002))).alias("year"))
+    # every year of the data, one before and one after
+    bounds = p.agg(F.year(F.min("date")).alias("lo"), F.year(F.max("date")).alias("hi"))
+    years = bounds.select(F.lit(1).alias("k"), F.explode(F.expr("sequence(lo - 1, hi + 1)")).alias("year"))
+    symbols = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("symbol"), F.lit(1).alias("k"))
+    grid = symbols.join(F.broadcast(years), "k").drop("k")
     return Q.year_end_quote(p, ["symbol"], "date", "close", "adjclose", grid)
 
 
-@query("flatten_quote_documents")
+@query("flatten_quote_documents", f"WITH {P.PRICES} SELECT symbol, date, close, close AS adjclose FROM prices")
 def _(spark, sf):
     """Chart documents built from the daily prices, flattened again."""
     p = P.daily_prices(spark, sf).withColumn("sec", F.unix_timestamp(F.col("date").cast("timestamp")))

@@ -9,16 +9,27 @@ from strataloom.plans import panels as P
 from strataloom.plans.registry import query, rounded, table
 
 JUMP = 60.0
-FIRST, LAST = 1996, 2002
+
+
+def _years(spark, sf, column):
+    """One row a year of the ship dates, from the first to the last."""
+    bounds = table(spark, sf, "lineitem").agg(F.min(F.year("l_shipdate")).alias("lo"), F.max(F.year("l_shipdate")).alias("hi"))
+    return bounds.select(F.lit(1).alias("__all"), F.explode(F.sequence("lo", "hi")).alias(column))
+
+
+def _per_year(spark, sf, rows, column):
+    """Every row once a year; years are bounded by the calendar."""
+    return rows.withColumn("__all", F.lit(1)).join(F.broadcast(_years(spark, sf, column)), "__all").drop("__all")
 
 
 def _grid(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("symbol"))
-    g = B.period_grid(s, "symbol", FIRST, LAST, "fiscal_year")
+    g = _per_year(spark, sf, s, "fiscal_year")
     return g.withColumns({"cutoff": T.uniform_cutoff(F.col("fiscal_year")), "next_cutoff": T.uniform_cutoff(F.col("fiscal_year") + 1)})
 
 
-_G = f"""g AS (SELECT s_suppkey AS symbol, CAST(y AS INTEGER) AS fiscal_year, make_date(y + 1, 5, 31) AS cutoff, make_date(y + 2, 5, 31) AS next_cutoff FROM supplier, range({FIRST}, {LAST + 1}) t(y))"""
+_Y = "(SELECT unnest(range(min(year(l_shipdate)), max(year(l_shipdate)) + 1)) AS y FROM lineitem)"
+_G = f"""g AS (SELECT s_suppkey AS symbol, CAST(y AS INTEGER) AS fiscal_year, make_date(y + 1, 5, 31) AS cutoff, make_date(y + 2, 5, 31) AS next_cutoff FROM supplier, {_Y} t(y))"""
 _J = f"""jumps AS (SELECT symbol, date, move FROM (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS move FROM prices) WHERE abs(move) > {JUMP})"""
 
 
@@ -140,13 +151,13 @@ def _(spark, sf):
 def _shares(spark, sf):
     """Year-end share counts that follow the splits for most suppliers and stay flat for the rest."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("symbol"), (F.col("s_acctbal") > 4000).alias("moves"))
-    g = B.period_grid(s, "symbol", FIRST, LAST, "year").join(s, "symbol")
+    g = _per_year(spark, sf, s, "year")
     g = g.withColumn("ye", F.make_date("year", F.lit(12), F.lit(31)))
     g = T.split_factor(g, P.split_events(spark, sf), "ye", "after")
     return g.select("symbol", "year", F.when(F.col("moves"), 1e6 / F.col("after")).otherwise(1e6).alias("shares"))
 
 
-_SH = f"""sh AS (SELECT s_suppkey AS symbol, CAST(y AS INTEGER) AS year, CASE WHEN s_acctbal > 4000 THEN 1e6 / (SELECT coalesce(product(ratio), 1.0) FROM splits x WHERE x.symbol = s_suppkey AND x.ex_date > make_date(y, 12, 31)) ELSE 1e6 END AS shares FROM supplier, range({FIRST}, {LAST + 1}) t(y)),
+_SH = f"""sh AS (SELECT s_suppkey AS symbol, CAST(y AS INTEGER) AS year, CASE WHEN s_acctbal > 4000 THEN 1e6 / (SELECT coalesce(product(ratio), 1.0) FROM splits x WHERE x.symbol = s_suppkey AND x.ex_date > make_date(y, 12, 31)) ELSE 1e6 END AS shares FROM supplier, {_Y} t(y)),
 sr AS (SELECT symbol, year(ex_date) AS year, product(ratio) AS r FROM splits GROUP BY 1, 2),
 ok AS (SELECT a.symbol, a.year, coalesce(abs(a.shares / b.shares / coalesce(r, 1.0) - 1) <= 0.02, TRUE) AS ok FROM sh a LEFT JOIN sh b ON b.symbol = a.symbol AND b.year = a.year - 1 LEFT JOIN sr ON sr.symbol = a.symbol AND sr.year = a.year),
 cons AS (SELECT a.symbol, a.year, a.ok AND coalesce(b.ok, TRUE) AS consistent FROM ok a LEFT JOIN ok b ON b.symbol = a.symbol AND b.year = a.year + 1)"""
@@ -172,21 +183,38 @@ def _(spark, sf):
     return out.select("symbol", "fiscal_year", "market_value_status", F.round(F.col("market_value_pit") / 1e6, 4).alias("market_value_pit"))
 
 
+_RAW = f"""rawp AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS close FROM lineitem GROUP BY 1, 2),
+rawj AS (SELECT symbol, date, move FROM (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS move FROM rawp) WHERE abs(move) > {JUMP})"""
+_RET2 = (
+    _asof_sql("s2", "(g.cutoff - INTERVAL 730 DAY)")
+    + f""", ret2 AS (SELECT g.symbol, g.fiscal_year, CASE WHEN NOT {_jump_in('s2.date', 'e.date')} THEN (e.close / s2.close - 1) * 100 END AS momentum_2y
+ FROM g JOIN e USING (symbol, fiscal_year) JOIN s2 USING (symbol, fiscal_year))"""
+)
+_RAW_MV = _MV.replace("FROM jumps j", "FROM rawj j").replace("JOIN e ON e.symbol = g.symbol AND e.fiscal_year", "JOIN re ON re.symbol = g.symbol AND re.fiscal_year").replace("WHEN e.date", "WHEN re.date").replace(" e.close *", " re.close *")
+
+
 @query(
     "price_panel",
-    f"""WITH {P.PRICES}, {_J}, {_G}, {P.SPLITS}, {_SH}, {_RET}, {_DD}, {_TW}, {_MV},
+    f"""WITH {P.PRICES.replace('max(l_extendedprice)', 'min(l_extendedprice)')}, {_J}, {_RAW}, {_G}, {P.SPLITS}, {_SH}, {_RET}, {_RET2}, {_DD}, {_TW}, {_asof_sql("re", "g.cutoff").replace("JOIN prices p", "JOIN rawp p")}, {_RAW_MV},
 bp AS (SELECT date, round(avg(close), 4) AS close FROM prices GROUP BY 1), c AS (SELECT DISTINCT cutoff FROM g),
 be AS (SELECT c.cutoff, CASE WHEN b.date >= c.cutoff - INTERVAL 7 DAY THEN b.close END AS close FROM c ASOF LEFT JOIN bp b ON b.date <= c.cutoff), bs AS (SELECT c.cutoff, CASE WHEN b.date >= c.cutoff - INTERVAL 372 DAY THEN b.close END AS close FROM c ASOF LEFT JOIN bp b ON b.date <= c.cutoff - INTERVAL 365 DAY)
-SELECT g.symbol, g.fiscal_year, tw.target_status, round(ret.momentum_1y, 6) AS momentum_1y, round(dd.drawdown_3y, 6) AS drawdown_3y, mv.market_value_status, round(ret.momentum_1y - (be.close / bs.close - 1) * 100, 6) AS relative_1y
-FROM g JOIN tw USING (symbol, fiscal_year) JOIN ret USING (symbol, fiscal_year) JOIN dd USING (symbol, fiscal_year) JOIN mv USING (symbol, fiscal_year) JOIN be USING (cutoff) JOIN bs USING (cutoff)""",
+SELECT g.symbol, g.fiscal_year, tw.target_status, tw.entry_date, tw.exit_date, round(tw.target_return_pct, 6) AS target_return_pct, round(ret.momentum_1y, 6) AS momentum_1y, round(ret2.momentum_2y, 6) AS momentum_2y, round(dd.drawdown_3y, 6) AS drawdown_3y,
+ mv.market_value_status, round(CASE WHEN market_value_status = 'ok' THEN v END / 1e6, 4) AS market_value_m, round(ret.momentum_1y - (be.close / bs.close - 1) * 100, 6) AS relative_1y
+FROM g JOIN tw USING (symbol, fiscal_year) JOIN ret USING (symbol, fiscal_year) JOIN ret2 USING (symbol, fiscal_year) JOIN dd USING (symbol, fiscal_year) JOIN mv USING (symbol, fiscal_year) JOIN be USING (cutoff) JOIN bs USING (cutoff)""",
 )
 def _(spark, sf):
-    prices = P.daily_prices(spark, sf)
-    bench = prices.groupBy("date").agg(F.round(F.avg("close"), 4).alias("close")).withColumn("symbol", F.lit(-1).cast("bigint"))
+    li = table(spark, sf, "lineitem")
+    days = li.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"))
+    adjusted, raw = days.agg(F.min("l_extendedprice").alias("close")), P.daily_prices(spark, sf)
+    bench = adjusted.groupBy("date").agg(F.round(F.avg("close"), 4).alias("close")).withColumn("symbol", F.lit(-1).cast("bigint"))
+    jumps, raw_jumps = T.jump_days(adjusted, threshold=JUMP), T.jump_days(raw, threshold=JUMP)
     # the benchmark has no jumps of its own
-    none = _jumps(spark, sf).where(F.lit(False))
-    out = T.price_panel(_grid(spark, sf), prices, P.split_events(spark, sf), _shares(spark, sf), _jumps(spark, sf), bench, none, -1)
-    return rounded(out.select("symbol", "fiscal_year", "target_status", "momentum_1y", "drawdown_3y", "market_value_status", "relative_1y"))
+    out = T.price_panel(
+        _grid(spark, sf), adjusted, P.split_events(spark, sf), _shares(spark, sf), jumps, raw, raw_jumps, bench, jumps.where(F.lit(False)), -1
+    )
+    out = out.withColumn("market_value_m", F.round(F.col("market_value_pit") / 1e6, 4))
+    names = ["symbol", "fiscal_year", "target_status", "entry_date", "exit_date", "target_return_pct", "momentum_1y", "momentum_2y"]
+    return rounded(out.select(*names, "drawdown_3y", "market_value_status", "market_value_m", "relative_1y"))
 
 
 @query(
@@ -326,7 +354,7 @@ def _regimes(spark, sf):
 
 @query(
     "assign_regime",
-    f"WITH {_REG} SELECT o_orderkey, min(regime) AS regime, count(regime) AS n_matches FROM orders LEFT JOIN reg ON CAST(o_orderdate AS DATE) BETWEEN start_date AND end_date GROUP BY 1",
+    f"WITH {_REG} SELECT o_orderkey, CASE WHEN count(regime) = 1 THEN min(regime) END AS regime, count(regime) AS n_matches FROM orders LEFT JOIN reg ON CAST(o_orderdate AS DATE) BETWEEN start_date AND end_date GROUP BY 1",
 )
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))

@@ -424,10 +424,10 @@ _LIN = "round(least(greatest((coalesce(roa_n * 0.5::DOUBLE, 0) + coalesce(roe_n
 
 @query(
     "sector_forecast",
-    _FC.replace("{score}", _LIN) + " SELECT entity, period, sector, round(score, 3) AS score, trend, round(1.0::DOUBLE, 6) AS confidence FROM f",
+    _FC.replace("{score}", _LIN) + " SELECT entity, period, sector, score, trend, 1.0::DOUBLE AS confidence, row_number() OVER (PARTITION BY sector, period ORDER BY score DESC, entity) AS rank FROM f",
 )
 def _(spark, sf):
-    return _forecast(spark, sf).select("entity", "period", "sector", F.round("score", 3).alias("score"), "trend", "confidence")
+    return _forecast(spark, sf).select("entity", "period", "sector", "score", "trend", "confidence", "rank")
 
 
 @query(
@@ -436,10 +436,10 @@ def _(spark, sf):
         "{score}",
         "round(least(greatest((coalesce(exp(-pow(roa_n - 0.6, 2) / 0.08) * 0.5::DOUBLE, 0) + coalesce(exp(-pow(roe_n - 0.6, 2) / 0.08) * 0.3::DOUBLE, 0) + coalesce(exp(-pow(net_margin_n - 0.6, 2) / 0.08) * 0.2::DOUBLE, 0)) * 100, 0), 100), 4)",
     )
-    + " SELECT entity, period, sector, round(score, 3) AS score FROM f",
+    + " SELECT entity, period, sector, score, row_number() OVER (PARTITION BY sector, period ORDER BY score DESC, entity) AS rank FROM f",
 )
 def _(spark, sf):
-    return _forecast(spark, sf, "bell").select("entity", "period", "sector", F.round("score", 3).alias("score"))
+    return _forecast(spark, sf, "bell").select("entity", "period", "sector", "score", "rank")
 
 
 @query(
@@ -504,10 +504,7 @@ SELECT rule, count(*) AS total_rows, count(*) FILTER (WHERE hit) AS positive_cou
 @query("label_distribution", _LABELS)
 def _(spark, sf):
     s = _rules(spark, sf).select(F.round("total_score", 6).alias("score"), F.round(F.col("debt_to_assets") / 1000, 9).alias("debt"))
-    parts = [S.label_preview(s, "score", "debt", 40.0, k).withColumn("rule", F.lit(k)) for k in ("absolute", "sector_median", "upper_quartile", "risk_adjusted")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = S.label_distribution(s, "score", "debt", 40.0)
     return rounded(out, 5).withColumn("positive_rate", F.round(F.col("positive_count") / F.col("total_rows"), 6))
 
 

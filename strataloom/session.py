@@ -26,18 +26,18 @@ def local_session(app: str = "strataloom", cores: str | int = 8) -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder.
+    """Folder every executor can reach: the cluster's checkpoint folder, named in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is created and set as the checkpoint folder.
+    Only where that is unset and Spark runs inside one process (tests) a temporary folder is made and set as
+    the checkpoint folder. On a cluster without the setting this refuses.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="strataloom-")
-        spark.sparkContext.setCheckpointDir(folder)
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="strataloom-")
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

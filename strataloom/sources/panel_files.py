@@ -98,14 +98,14 @@ def best_file_per_period(files: DataFrame, period: str, name: str, rows: str, co
 
 
 def first_available_source(sources: Sequence[DataFrame], entity: str, key: str, value: str, order: str) -> DataFrame:
-    """Per entity all rows of the first source that has any usable (positive) value; last row per key wins."""
+    """Per entity the rows of the first source that has any row of it; the last row per key wins, then must be positive."""
     tagged = None
     for i, s in enumerate(sources):
-        one = s.where(F.col(value) > 0).withColumn("source_rank", F.lit(i))
+        one = s.withColumn("source_rank", F.lit(i))
         tagged = one if tagged is None else tagged.unionByName(one)
     per_key = tagged.groupBy(entity, key, "source_rank").agg(F.max_by(value, order).alias(value))
     first = per_key.groupBy(entity).agg(F.min("source_rank").alias("source_rank"))
-    return per_key.join(first, [entity, "source_rank"])
+    return per_key.join(first, [entity, "source_rank"]).where(F.col(value) > 0)
 
 
 def priority_coalesce(df: DataFrame, keys: Sequence[str], cols: Sequence[str], priority: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators.asof import asof_join
+
 # Shape of a chart document with parallel arrays.
 CHART_SCHEMA = (
     "chart struct<result array<struct<timestamp array<bigint>,"
@@ -37,11 +39,10 @@ def flatten_quotes(docs: DataFrame, symbol: str, body: str, zone: str = "UTC") -
 
 
 def year_end_quote(prices: DataFrame, by: Sequence[str], date: str, close: str, adjclose: str, grid: DataFrame) -> DataFrame:
-    """Last quote of the year per entity on a grid (by, year), with an ok/missing status row."""
-    p = prices.where(F.col(close).isNotNull()).withColumn("year", F.year(date))
-    last = p.groupBy(*by, "year").agg(
-        F.max(date).alias("quote_date"),
-        F.max_by(close, date).alias("close"),
-        F.max_by(F.coalesce(adjclose, close), date).alias("adjclose"),
+    """Last quote on or before 31 December, of that year or an earlier one, per row of a grid (by, year); status ok or missing."""
+    p = prices.where(F.col(close).isNotNull()).groupBy(*by, F.col(date).alias("quote_date")).agg(
+        F.max(close).alias("close"), F.max(F.coalesce(adjclose, close)).alias("adjclose")
     )
-    return grid.join(last, [*by, "year"], "left").withColumn("status", F.when(F.col("close").isNull(), "error").otherwise("success"))
+    at = grid.withColumn("__end", F.make_date("year", F.lit(12), F.lit(31)))
+    out = asof_join(at, p, by, "__end", "quote_date", ["close", "adjclose"]).drop("__end")
+    return out.withColumn("status", F.when(F.col("close").isNull(), "error").otherwise("success"))
