@@ -21,7 +21,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
 
     Sources in code point order, null last, weigh `weights` in turn and share `budget` times all sizes. A
     target stops at `epochs` times its source's size; what is over is shared again by weight. In the
-    order of size for weight the stopped sources come first, so one pass of running sums finds them.
+    order of size for weight the stopped sources come first, so one pass of running sums finds them: the
+    level rises up to the first source that does not stop, whose level is shared by all from there on.
     """
     held = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     whole = Window.partitionBy(F.lit(0))
@@ -31,7 +32,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
     by_room = whole.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     stopped = F.coalesce(F.sum("cap").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     held = held.withColumn("level", (F.col("budget") - stopped) / F.sum("weight").over(by_room.rowsBetween(0, Window.unboundedFollowing)))
-    held = held.withColumn("open_level", F.min(F.when(F.col("cap") > F.col("weight") * F.col("level"), F.col("level"))).over(whole))
+    held = held.withColumn("open_level", F.max(F.when(F.col("cap") > F.col("weight") * F.col("level"), F.col("level"))).over(whole))
     target = F.when(F.col("cap") <= F.col("weight") * F.col("level"), F.col("cap")).otherwise(F.col("weight") * F.col("open_level"))
     return held.select("source", "source_size", target.alias("target"))
 
@@ -72,7 +73,7 @@ def mix_sources(
         total = total + F.col(f"turn_{e}")
     placed = cut_lineage(placed.withColumn("taken", total))
 
-    finish = [F.least(F.lit(1.0), (F.col("source_size") * e + F.col("before") + F.col("size")) / F.col("target")) for e in range(epochs)]
+    finish = [F.least(F.lit(1.0), F.try_divide(F.col("source_size") * e + F.col("before") + F.col("size"), F.col("target"))) for e in range(epochs)]
     entries = placed.select("*", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), finish[e].alias("finish"), F.col(f"turn_{e}").alias("words")) for e in range(epochs)])).alias("t"))
     entries = entries.select("id", "source", "size", "source_size", "target", "taken", "key", "t.epoch", "t.finish", "t.words").where("words > 0")
     entries = entries.withColumn("time_bin", F.floor(F.col("finish") * BINS).cast("int"))
@@ -121,7 +122,7 @@ levels AS (
   SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
             / sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM roomy),
-opened AS (SELECT *, min(CASE WHEN cap > weight * level THEN level END) OVER () AS open_level FROM levels),
+opened AS (SELECT *, max(CASE WHEN cap > weight * level THEN level END) OVER () AS open_level FROM levels),
 targets AS (
   SELECT source, source_size, CASE WHEN cap <= weight * level THEN cap ELSE weight * open_level END AS target FROM opened),
 placed AS (
