@@ -45,7 +45,7 @@ def test_brute_force(spark):
     text = lambda n: " ".join(r.choice(words) + str(r.randrange(30)) for _ in range(n))
     items = [(i, text(r.randint(6, 30))) for i in range(8)] + [(8, None), (9, ""), (10, "ab"), (3, text(12))]
     docs = []
-    for d in range(60):
+    for d in range(90):
         t = text(r.randint(0, 60))
         if d % 2:
             t += "\n" + edited(r.choice([x for _, x in items[:8]]), r.randint(0, 20), r).upper() + "  " + text(5)
