@@ -279,10 +279,10 @@ _VAL_COLS = ["entity", "period", "market_cap", "pe", "pb", "ev", "ev_ebitda", "c
 
 @query(
     "valuation_history",
-    f"{_VAL_SQL} SELECT entity, period, round(market_cap, 2) AS market_cap, round(pe, 2) AS pe, round(pb, 2) AS pb, round(ev, 2) AS ev, round(ev_ebitda, 2) AS ev_ebitda, cap_reason, pe_reason, pb_reason, ev_reason, ev_ebitda_reason FROM v5",
+    f"{_VAL_SQL} SELECT entity, period, round(market_cap, 5) AS market_cap, round(pe, 5) AS pe, round(pb, 5) AS pb, round(ev, 5) AS ev, round(ev_ebitda, 5) AS ev_ebitda, cap_reason, pe_reason, pb_reason, ev_reason, ev_ebitda_reason FROM v5",
 )
 def _(spark, sf):
-    return rounded(_valued(spark, sf).select(*_VAL_COLS), 2)
+    return rounded(_valued(spark, sf).select(*_VAL_COLS), 5)
 
 
 @query(
