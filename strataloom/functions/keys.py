@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from strataloom.functions.numbers import as_col
 
 HASH_DIGITS = 15
-HASH_SPAN = float(16**HASH_DIGITS)
 
 
 def normalise_entity(c: str | Column) -> Column:
@@ -41,9 +40,3 @@ def keyed_hash(*parts: str | Column | int) -> Column:
     cols = [F.lit(str(p)) if isinstance(p, int) else as_col(p).cast("string") for p in parts]
     digest = F.md5(F.concat_ws("|", *cols))
     return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("bigint")
-
-
-def keyed_uniform(*parts: str | Column | int) -> Column:
-    """Uniform double strictly inside (0, 1)."""
-    return (keyed_hash(*parts).cast("double") + 0.5) / F.lit(HASH_SPAN)
-

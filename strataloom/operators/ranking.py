@@ -148,11 +148,6 @@ def key_positions(df: DataFrame, by: Sequence[str], key: str, out: str = "slot")
     return placed.withColumn(out, (F.col("below") + 1).cast("bigint")).drop("below")
 
 
-def hash_positions(df: DataFrame, by: Sequence[str], hashed: str, tie: str, out: str) -> DataFrame:
-    """Position 1..n of the rows of a group in the order of a hash."""
-    return cumulate(df, by, [hashed, tie]).withColumn(out, (F.col("below") + 1).cast("bigint")).drop("below", "n")
-
-
 def group_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles per group, from tallies (no group is held in memory)."""
     ranked = tally_ranks(df, by, value)

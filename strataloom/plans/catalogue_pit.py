@@ -361,6 +361,14 @@ def _(spark, sf):
     return T.interval_join(o, _regimes(spark, sf), "d", "start_date", "end_date", "regime").select("o_orderkey", "regime", "n_matches")
 
 
+@query(
+    "overlapping_regimes",
+    f"WITH {_REG} SELECT a.regime, b.regime AS other FROM reg a JOIN reg b ON a.regime < b.regime AND a.start_date <= b.end_date AND b.start_date <= a.end_date",
+)
+def _(spark, sf):
+    return T.overlapping_intervals(_regimes(spark, sf), "start_date", "end_date", "regime")
+
+
 @query(
     "macro_context_contract",
     f"""WITH {P.YEARS}, c AS (SELECT entity, period, revenue AS v, CASE WHEN returned IS NOT NULL THEN make_date(CASE WHEN quantity > 1500 THEN period + 1 ELSE period END, 12, 31) END AS d FROM years)
