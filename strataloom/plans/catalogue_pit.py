@@ -363,10 +363,11 @@ def _(spark, sf):
 
 @query(
     "overlapping_regimes",
-    f"WITH {_REG} SELECT a.regime, b.regime AS other FROM reg a JOIN reg b ON a.regime < b.regime AND a.start_date <= b.end_date AND b.start_date <= a.end_date",
+    f"WITH {_REG} SELECT a.regime, b.regime AS other FROM reg a JOIN reg b ON a.regime < b.regime AND a.start_date <= b.end_date + 60 AND b.start_date <= a.end_date + 60",
 )
 def _(spark, sf):
-    return T.overlapping_intervals(_regimes(spark, sf), "start_date", "end_date", "regime")
+    longer = _regimes(spark, sf).withColumn("end_date", F.date_add("end_date", 60))
+    return T.overlapping_intervals(longer, "start_date", "end_date", "regime")
 
 
 @query(
