@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,33 +26,53 @@ PLAIN_LETTERS = "\u0180"
 SHARDS = "part int, turn int, first_doc long, ids long, docs binary, lengths binary, matrix binary"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the rest from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder(dict):
     """Ids of texts as 32-bit integers, by distinct words: no token reaches over white space.
 
     Words are split at ASCII white space only; what else counts as white space is left to the tokenizer. A word
-    of plain letters with punctuation after it is two pre-tokens, so its letters are looked up in lower case; any
-    other word is encoded as it stands.
+    of plain letters with punctuation after it is two pre-tokens, so its letters are looked up in lower case and
+    given to the tokenizer's merges directly; any other word is encoded as it stands.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.end, self.letters = Tokenizer.from_file(path), np.uint32(end_id).tobytes(), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.end, self.letters, self.byte_letters = array("I", [end_id]).tobytes(), {}, _byte_letters()
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _core(self, core: str) -> bytes:
+        ids = self.letters.get(core)
+        if ids is None:
+            word = core if core.isascii() else core.encode().decode("latin-1").translate(self.byte_letters)
+            ids = self.letters[core] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return ids
+
+    def _tail(self, tail: str) -> bytes:
+        ids = self.letters.get(tail)
+        if ids is None:
+            ids = self.letters[tail] = self._plain(tail)
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
         small = text.lower()
         core = small.rstrip(MARKS)
-        if core and core.isalpha() and max(core) < PLAIN_LETTERS:
-            ids = self.letters.get(core)
-            if ids is None:
-                ids = self.letters[core] = self._plain(core)
+        if core and core.isalpha() and (core.isascii() or max(core) < PLAIN_LETTERS):
+            ids = self._core(core)
             if len(core) < len(small):
-                ids += self._plain(small[len(core) :]) if len(small) > len(core) + 1 else self[small[-1].encode()]
+                ids += self._tail(small[len(core) :])
         else:
             ids = self._plain(text)
         self[word] = ids
