@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strataloom.operators import evaluation as E
+from strataloom.operators import influence as L
 from strataloom.operators import resampling as G
 from strataloom.plans import panels as P
 from strataloom.plans.registry import query, rounded
@@ -175,3 +176,41 @@ def _(spark, sf):
 def _(spark, sf):
     null = G.permutation_null(P.predictions(spark, sf), DRAWS, SEED)
     return G.null_histogram(null.withColumn("ic", F.round("ic", 9)))
+
+
+_LOO = f"""{_IC}, pairs AS (SELECT a.model, a.period, a.entity, b.y_true, b.y_pred FROM rk a JOIN rk b ON a.model = b.model AND a.period = b.period AND a.entity <> b.entity),
+lr AS (SELECT model, period, entity, {P.sql_avg_rank('y_true', 'model, period, entity')} AS rt, {P.sql_avg_rank('y_pred', 'model, period, entity')} AS rp FROM pairs),
+li AS (SELECT model, period, entity, {sql_corr('rt', 'rp')} AS loo_ic FROM lr GROUP BY 1, 2, 3),
+pl AS (SELECT model, count(*) AS periods, CASE WHEN count(ic) = count(*) THEN avg(ic) END AS pooled_ic FROM ics GROUP BY 1),
+fl AS (SELECT rk.model, rk.period, rk.entity, ic, loo_ic, pooled_ic, CASE WHEN pooled_ic IS NOT NULL THEN round((loo_ic - ic) / periods, 9) END AS delta FROM rk JOIN ics USING (model, period) JOIN pl USING (model) LEFT JOIN li USING (model, period, entity))"""
+
+
+@query("leave_one_out", f"WITH {_LOO} SELECT model, period, entity, round(ic, 8) AS ic, round(loo_ic, 8) AS loo_ic FROM fl")
+def _(spark, sf):
+    return rounded(L.leave_one_out(P.predictions(spark, sf)).drop("n"), 8)
+
+
+@query(
+    "influence",
+    f"WITH {_LOO} SELECT model, period, entity, round(pooled_ic, 8) AS pooled_ic, round(delta, 7) AS delta, CASE WHEN delta > 0 THEN 'positive' WHEN delta < 0 THEN 'negative' WHEN delta = 0 THEN 'zero' END AS sign FROM fl",
+)
+def _(spark, sf):
+    out = L.influence(P.predictions(spark, sf)).select("model", "period", "entity", "pooled_ic", "delta", "sign")
+    return out.withColumns({"pooled_ic": F.round("pooled_ic", 8), "delta": F.round("delta", 7) + 0.0})
+
+
+@query(
+    "jackknife",
+    f"WITH {_LOO} SELECT model, count(*) AS n, round(min(pooled_ic + delta), 7) AS low, round(max(pooled_ic + delta), 7) AS high, round(avg(pooled_ic + delta), 7) AS mean FROM fl WHERE delta IS NOT NULL GROUP BY 1",
+)
+def _(spark, sf):
+    return rounded(L.jackknife(L.influence(P.predictions(spark, sf))), 7)
+
+
+@query(
+    "influence_concentration",
+    f"""WITH {_LOO}, o AS (SELECT model, abs(delta) AS a, row_number() OVER (PARTITION BY model ORDER BY abs(delta) DESC) AS place FROM fl WHERE delta IS NOT NULL)
+SELECT model, count(*) AS observations, round(sum(a) FILTER (WHERE place <= 5) / sum(a), 6) AS top_share FROM o GROUP BY 1""",
+)
+def _(spark, sf):
+    return rounded(L.influence_concentration(L.influence(P.predictions(spark, sf))))
