@@ -67,13 +67,3 @@ def signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarra
             return out.view(U64)
         until *= 2
 
-
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two bags of sorted elements and weights; 0 where either is empty."""
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    at = np.searchsorted(a[0], b[0])
-    at[at == len(a[0])] = 0
-    same = a[0][at] == b[0]
-    both = int(np.minimum(a[1][at[same]], b[1][same]).sum())
-    return both / (int(a[1].sum()) + int(b[1].sum()) - both)

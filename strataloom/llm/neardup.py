@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.bagminhash import overlap, signature
+from strataloom.llm.bagminhash import signature
 from strataloom.llm.blocks import block_pairs, runs, spanning_links, task_key
 from strataloom.llm.components import components
 from strataloom.llm.shingles import bags
@@ -68,22 +68,49 @@ def _likely(least: int, size: int):
     return links
 
 
+class Bags:
+    """Bags of a task's texts, their elements numbered, so that one bag meets many others at once."""
+
+    def __init__(self, texts: pa.ChunkedArray | pa.Array, shingle: int):
+        held = [(e.copy(), w) for e, w in bags(texts, shingle)]
+        sizes = np.array([len(e) for e, _ in held], np.int64)
+        self.starts = np.cumsum(np.r_[0, sizes])
+        elements, self.numbers = np.unique(np.concatenate([np.zeros(0, U64), *(e for e, _ in held)]), return_inverse=True)
+        self.weights = np.concatenate([np.zeros(0, np.int64), *(w for _, w in held)])
+        self.totals = np.array([int(w.sum()) for _, w in held], np.int64)
+        self.counts = np.zeros(len(elements), np.int64)
+
+    def overlaps(self, x: int, others: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
+        """Weighted Jaccard similarity of bag x with each of the others; no bag may be empty."""
+        own = slice(self.starts[x], self.starts[x + 1])
+        self.counts[self.numbers[own]] = self.weights[own]
+        both, at = np.zeros(len(others), np.int64), 0
+        sizes = self.starts[others + 1] - self.starts[others]
+        ends = np.cumsum(sizes)
+        while at < len(others):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + piece)))
+            n = sizes[at:to]
+            first = np.cumsum(n) - n
+            flat = np.repeat(self.starts[others[at:to]] - first, n) + np.arange(int(n.sum()))
+            both[at:to] = np.add.reduceat(np.minimum(self.counts[self.numbers[flat]], self.weights[flat]), first)
+            at = to
+        self.counts[self.numbers[own]] = 0
+        return both / (self.totals[x] + self.totals[others] - both)
+
+
 def _certain(least: int, size: int, shingle: int, threshold: float):
     """Links between likely near-duplicates whose bags overlap by `threshold` or more."""
 
     def links(table: pa.Table) -> pa.Table:
         prints, nodes, found = _prints(table, size), table["content"].to_numpy(), []
-        texts: dict[int, int] = {}
-        for i, node in enumerate(nodes):
-            texts.setdefault(int(node), i)
-        rows = np.fromiter(texts.values(), np.int64)
-        held = dict(zip(texts, bags(table["text"].take(pa.array(rows)), shingle)))
+        _, rows, bag = np.unique(nodes, return_index=True, return_inverse=True)
+        held = Bags(table["text"].take(pa.array(rows)), shingle)
 
         def near(x, others):
             good = (prints[others] == prints[x]).sum(axis=1) >= least
-            own = held[int(nodes[x])]
-            for i in np.flatnonzero(good):
-                good[i] = overlap(own, held[int(nodes[others[i]])]) >= threshold
+            at = np.flatnonzero(good)
+            if len(at):
+                good[at] = held.overlaps(int(bag[x]), bag[others[at]]) >= threshold
             return good
 
         for left, right in runs(table, "likely"):
