@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import mixing, quality
+from strataloom.llm import mixing, quality, repeats, vectors
 from strataloom.llm.decontaminate import contaminated
 from strataloom.llm.lm import lm_scores
 from strataloom.llm.neardup import near_duplicates
@@ -60,12 +60,12 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return token_table(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op6_embedding_near_dedup")
+@query("op6_embedding_near_dedup", vectors.SQL)
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings"))
 
 
-@query("op7_substring_dedup")
+@query("op7_substring_dedup", repeats.SQL)
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     out = remove_repeats(table(spark, sf, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))

@@ -216,3 +216,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earlier = base.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(extended, SENT).groupBy("bucket").applyInArrow(held_before, TOLD)
     schema = "id long, n_words long, n_removed long, spans array<struct<from_word: long, to_word: long>>, kept_text string"
     return base.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(cut, schema).withColumnRenamed("id", id_col)
+
+
+#: The rows of op7 over `documents`, whose ids are unique: every window is compared as text.
+SQL = r"""
+WITH held AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM held),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM held)),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM windows JOIN firsts USING (k), range(0, 13) t(d) WHERE first < doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT h.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM held h LEFT JOIN kept k USING (doc_id)
+"""

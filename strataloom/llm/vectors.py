@@ -154,3 +154,20 @@ def near_vectors(
     alone = known.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone)
     return out.select(F.nullif("id", F.lit(last)).alias(id_col), "n_links", F.nullif("component_id", F.lit(last)).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+#: The rows of op6 over `embeddings`, whose ids are unique, from all pairs.
+SQL = """
+WITH RECURSIVE held AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM held
+  WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reached AS (SELECT a AS vec_id, b AS other FROM pairs UNION SELECT r.vec_id, p.b FROM reached r JOIN pairs p ON p.a = r.other),
+least AS (SELECT vec_id, min(other) AS other FROM reached GROUP BY vec_id),
+links AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
+SELECT h.vec_id, coalesce(n, 0) AS n_links, least(h.vec_id, coalesce(other, h.vec_id)) AS component_id, h.vec_id = least(h.vec_id, coalesce(other, h.vec_id)) AS kept
+FROM held h LEFT JOIN links USING (vec_id) LEFT JOIN least USING (vec_id)
+"""
