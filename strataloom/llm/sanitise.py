@@ -173,7 +173,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     holders = marked.where(F.size("base") > 0).groupBy(content.alias("content")).agg(F.first("text").alias("text"), F.first("base").alias("spans"), F.count("*").alias("rows"))
     holders = cut_lineage(holders)
     terms = _term_spans(holders, revealing_terms(known, holders, reach, together, disclosure))
-    key = F.when(F.size("base") > 0, content)
+    # documents without personal data match nothing; keys of their own keep them apart
+    alone = F.concat_ws(":", F.lit("none"), F.coalesce(F.col("id").cast("string"), F.xxhash64("text").cast("string")))
+    key = F.when(F.size("base") > 0, content).otherwise(alone)
     joined = marked.withColumn("content", key).join(terms, "content", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(SPANS))))
     gone = F.coalesce("gone", F.array().cast("array<int>"))
