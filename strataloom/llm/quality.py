@@ -81,14 +81,16 @@ class QualityModel:
 
 def fit(texts: pa.Array, labels: np.ndarray, bits: int = BITS, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> tuple[np.ndarray, float]:
     """Follow the regularised leader over the rows in order, `epochs` times; weights and bias."""
-    places, values, owner = features(texts, bits)
-    order = np.argsort(owner, kind="stable")
-    places, values = places[order], values[order]
-    ends = np.searchsorted(owner[order], np.arange(len(texts) + 1))
     rows = []
-    for a, b in zip(ends[:-1], ends[1:]):
-        at, inverse = np.unique(places[a:b], return_inverse=True)
-        rows.append((at, np.bincount(inverse, values[a:b], minlength=len(at))))
+    for first in range(0, len(texts), 128):
+        part = texts.slice(first, 128)
+        places, values, owner = features(part, bits)
+        order = np.argsort(owner, kind="stable")
+        places, values = places[order], values[order]
+        ends = np.searchsorted(owner[order], np.arange(len(part) + 1))
+        for a, b in zip(ends[:-1], ends[1:]):
+            at, inverse = np.unique(places[a:b], return_inverse=True)
+            rows.append((at.astype(np.int32), np.bincount(inverse, values[a:b], minlength=len(at)).astype(np.float32)))
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
     def lead(at: np.ndarray) -> np.ndarray:
@@ -144,7 +146,7 @@ def train(
     return QualityModel(weights.astype(np.float32), float(share @ [r["bias"] for r in found]), bits)
 
 
-def with_score(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score", piece: int = 4 << 20) -> DataFrame:
+def with_score(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score", piece: int = 2 << 20) -> DataFrame:
     """The documents with one more column `out`: the probability of label 1, for null and empty texts too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
