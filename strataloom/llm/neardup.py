@@ -129,7 +129,7 @@ def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def text_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
-    """One row a distinct text: content, first (its smallest id), class_id; see near_duplicates."""
+    """One row a distinct text: content, first (its smallest id), class (told by a content of it), class_id; see near_duplicates."""
     size = bands * rows
     least = int(np.floor(size * threshold - 4 * np.sqrt(size * threshold * (1 - threshold))))
     tasks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -154,7 +154,7 @@ def text_classes(
     found = components(links).withColumnsRenamed({"node": "content", "component": "class"})
 
     classes = firsts.join(found, "content", "left").withColumn("class", F.coalesce("class", "content"))
-    return classes.join(classes.groupBy("class").agg(F.min("first").alias("class_id")), "class").select("content", "first", "class_id")
+    return classes.join(classes.groupBy("class").agg(F.min("first").alias("class_id")), "class").select("content", "first", "class", "class_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -180,9 +180,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all their columns, with one left of each class: one row of its smallest id."""
-    classes = text_classes(docs, id_col, text_col, **options).where("first = class_id")
-    kept = classes.groupBy("class_id").agg(F.min("content").alias("__content")).withColumnRenamed("class_id", "__first")
+    """The documents, all their columns, with one left of each class: one row of its smallest (id, content).
+
+    Classes are told apart by their own key, as unrelated texts may share an id and all null ids count as one.
+    """
+    kept = text_classes(docs, id_col, text_col, **options).groupBy("class").agg(F.min(F.struct("first", "content")).alias("one"))
+    kept = kept.select(F.col("one.first").alias("__first"), F.col("one.content").alias("__content"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumn("__first", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn("__content", F.xxhash64(text))
     return keyed.join(kept, ["__first", "__content"], "left_semi").dropDuplicates(["__first", "__content"]).select(*docs.columns)

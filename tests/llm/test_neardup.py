@@ -86,3 +86,11 @@ def test_null_ids_and_empty_table(spark):
     assert sorted((str(r.doc_id), str(r.class_id)) for r in near_duplicates(docs).collect()) == [("4", "4"), ("None", "4"), ("None", "None")]
     assert one_of_each(docs).count() == 2
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_unrelated_texts_that_share_an_id_are_all_kept(spark):
+    rows = [(None, "a b c d e f"), (None, "p q r s t u"), (None, "p q r s t u"), (None, ""), (7, "g h i j k l"), (7, "m n o v w x"), (9, "m n o v w x")]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted(
+        [("None", "a b c d e f"), ("None", "p q r s t u"), ("None", ""), ("7", "g h i j k l"), ("7", "m n o v w x")]
+    )
