@@ -89,31 +89,29 @@ def _part(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def _nearby(text: Column, span: Column, reach: int) -> Column:
-    """Distinct terms of whole words within `reach` characters of a span, other personal data left out."""
-    left = _part(text, F.greatest(F.lit(0), span["start"] - reach), span["start"])
-    right = _part(text, span["end"], span["end"] + reach)
-    left = F.when(span["start"] > reach, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(text) > span["end"] + reach, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    around = F.regexp_replace(F.concat(left, F.lit(" "), right), f"{EMAIL}|{PHONE}", " ")
-    return F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(LETTERS), F.lit(0)))
+def _terms(text: Column) -> Column:
+    """Distinct terms of a text in lower case; letters of e-mail addresses and phone numbers are none."""
+    plain = F.when(F.contains(text, F.lit("@")) | F.contains(text, F.lit("+")), F.regexp_replace(text, f"{EMAIL}|{PHONE}", " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(LETTERS), F.lit(0)))
 
 
-def revealing_terms(docs: DataFrame, holders: DataFrame, reach: int = 160, together: int = 3, disclosure: float = 0.9) -> DataFrame:
+def revealing_terms(docs: DataFrame, holders: DataFrame, together: int = 3, disclosure: float = 0.9) -> DataFrame:
     """(entity, term, ratio): terms that reveal a protected entity.
 
     holders: content, text, spans, rows (documents of this text) of the texts with personal data. ratio is the pointwise mutual
     information of term and entity over the information content of the entity, 1 where the term never stands
-    without it. A pair counts from `together` distinct texts on. Probabilities are shares of all
-    documents; a term's count covers every document of `docs` (column text).
+    without it. A pair counts from `together` distinct texts on, wherever the two stand in them. Probabilities are
+    shares of all documents; a term's count covers every document of `docs` (column text).
     """
-    held = holders.select("content", "text", "rows", F.explode("spans").alias("span"))
-    held = held.select("content", F.concat_ws(":", "span.kind", F.lower(_part(F.col("text"), F.col("span.start"), F.col("span.end")))).alias("entity"), _nearby(F.col("text"), F.col("span"), reach).alias("terms"), "rows")
-    entities = held.select("content", "entity", "rows").distinct().groupBy("entity").agg(F.sum("rows").alias("entity_docs"))
-    pairs = held.select("content", "entity", "rows", F.explode("terms").alias("term")).distinct()
+    entity = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(_part(F.col("text"), s["start"], s["end"]))))
+    held = holders.select("content", "rows", F.explode(F.array_distinct(entity)).alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("rows").alias("entity_docs"), F.count("*").alias("in_texts"))
+    # an entity of fewer texts has no pair that counts, so only the others meet the terms of their texts
+    entities = cut_lineage(entities.where(F.col("in_texts") >= together).drop("in_texts"))
+    own = held.join(entities, "entity").groupBy("content").agg(F.collect_list("entity").alias("entities"))
+    pairs = holders.join(own, "content").select("rows", "entities", F.explode(_terms(F.col("text"))).alias("term")).select("rows", "term", F.explode("entities").alias("entity"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("both_docs"), F.count("*").alias("texts")).where(F.col("texts") >= together)
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("term"))
-    counts = terms.groupBy("term").agg(F.count("*").alias("term_docs"))
+    counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
     total = docs.agg(F.count("*").alias("n")).first()["n"]
     information = -F.log(F.col("entity_docs") / F.lit(float(max(total, 1))))
     mutual = F.log(F.col("both_docs") * F.lit(float(max(total, 1))) / (F.col("entity_docs") * F.col("term_docs")))
@@ -155,10 +153,10 @@ def _replaced(text: Column, spans: Column, gone: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], _part(text, acc["at"], F.length(text))))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 160, together: int = 3, disclosure: float = 0.9) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", together: int = 3, disclosure: float = 0.9) -> DataFrame:
     """One row a document: id, base (pattern spans), spans (those and revealing terms), clean_text.
 
-    A term within `reach` characters of an entity in at least `together` distinct texts, whose mutual information
+    A term that stands with an entity in at least `together` distinct texts, however far off, whose mutual information
     with it reaches `disclosure` times the entity's information content, is a span of kind `term` wherever
     it stands in documents that hold the entity. In clean_text patterns and terms give way to their kind in
     brackets; a term never seen without the entity is removed. Terms are runs of letters in lower case.
@@ -172,7 +170,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     content = F.concat_ws(":", F.xxhash64("text").cast("string"), F.length("text").cast("string"))
     holders = marked.where(F.size("base") > 0).groupBy(content.alias("content")).agg(F.first("text").alias("text"), F.first("base").alias("spans"), F.count("*").alias("rows"))
     holders = cut_lineage(holders)
-    terms = _term_spans(holders, revealing_terms(known, holders, reach, together, disclosure))
+    terms = _term_spans(holders, revealing_terms(known, holders, together, disclosure))
     # documents without personal data match nothing; keys of their own keep them apart
     alone = F.concat_ws(":", F.lit("none"), F.coalesce(F.col("id").cast("string"), F.xxhash64("text").cast("string")))
     key = F.when(F.size("base") > 0, content).otherwise(alone)

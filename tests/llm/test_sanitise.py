@@ -62,3 +62,12 @@ def test_terms_that_reveal_an_entity(spark):
         assert "bob@firm.example" not in out[i].clean_text and "Zorblax" not in out[i].clean_text and "[EMAIL]" in out[i].clean_text
     assert all(not r.spans and r.clean_text == dict(rows)[d] for d, r in out.items() if 100 <= d < 200)
     assert [s.kind for s in out[200].spans] == ["email"]
+
+
+def test_terms_far_from_the_entity_count_as_well(spark):
+    far = "plain words of filler " * 20
+    rows = [(i, f"Zorblax wrote {far if i % 2 else ''}to bob@firm.example {far}about Quuxley {i}") for i in range(6)]
+    rows += [(100 + i, f"{far} wrote to about something {i}") for i in range(60)]
+    for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        terms = {dict(rows)[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"}
+        assert terms == ({"Zorblax", "Quuxley"} if r.doc_id < 100 else set())
