@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import mixing, quality, repeats, vectors
+from strataloom.llm import mixing, quality, repeats, resample, vectors
 from strataloom.llm.decontaminate import contaminated
 from strataloom.llm.lm import lm_scores
 from strataloom.llm.neardup import near_duplicates
@@ -87,3 +87,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     out = sanitise(table(spark, sf, "documents"))
     counts = [span_count(F.col("base"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
     return out.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+@query("op11_target_resample", resample.SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.target_resample(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("n_words")
