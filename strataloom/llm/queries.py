@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import mixing, quality, repeats, resample, vectors
+from strataloom.llm import mixing, quality, repeats, resample, turns, vectors
 from strataloom.llm.decontaminate import contaminated
 from strataloom.llm.lm import lm_scores
 from strataloom.llm.neardup import near_duplicates
@@ -92,3 +92,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_target_resample", resample.SQL)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return resample.target_resample(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("n_words")
+
+
+@query("op12_conversation_trie", turns.SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return turns.conversation_nodes(table(spark, sf, "conversations"))
