@@ -10,6 +10,7 @@ from strataloom.llm import mixing, quality, repeats, resample, turns, vectors
 from strataloom.llm.decontaminate import contaminated
 from strataloom.llm.lm import lm_scores
 from strataloom.llm.neardup import near_duplicates
+from strataloom.llm.packing import pack_documents
 from strataloom.llm.repeats import remove_repeats
 from strataloom.llm.sanitise import sanitise, span_count, spans_text
 from strataloom.llm.sharding import shard_documents
@@ -97,3 +98,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_conversation_trie", turns.SQL)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return turns.conversation_nodes(table(spark, sf, "conversations"))
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
