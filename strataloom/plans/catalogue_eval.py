@@ -8,7 +8,8 @@ from strataloom.operators import resampling as G
 from strataloom.plans import panels as P
 from strataloom.plans.registry import query, rounded
 
-DRAWS, SEED = 20, 42
+#: Draws of the permutation and bootstrap tests: the least corrected p of a family of two is 2 / 10,001.
+DRAWS, SEED = 10_000, 42
 
 
 def sql_corr(a: str, b: str) -> str:
@@ -114,68 +115,63 @@ def _(spark, sf):
     return rounded(E.feature_correlation(P.ranked(spark, sf), cols).select(plain("a"), plain("b"), "shared", "correlation"), 9)
 
 
-def _sql_hash(*parts: str) -> str:
-    return f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15)) AS BIGINT)"
+@query("permutation_null")
+def _(spark, sf):
+    return rounded(G.pooled_draws(G.permutation_null(P.predictions(spark, sf), DRAWS, SEED)), 9)
+
 
+@query("bootstrap_dist")
+def _(spark, sf):
+    return rounded(G.pooled_draws(G.bootstrap_dist(P.predictions(spark, sf), DRAWS, SEED)), 9)
 
-_DRAWN = f"""{_RANKS}, dr AS (SELECT CAST(d AS INTEGER) AS draw FROM range(0, {DRAWS}) t(d)),
-sl AS (SELECT *, row_number() OVER (PARTITION BY model, period ORDER BY entity) AS slot, count(*) OVER (PARTITION BY model, period) AS n FROM rk),
-gv AS (SELECT model, period, draw, rt, row_number() OVER (PARTITION BY model, period, draw ORDER BY {_sql_hash(f"'{SEED}'", 'draw', 'period', 'entity')}, entity) AS slot FROM sl, dr),
-pn AS (SELECT model, period, draw, {sql_corr('rt', 'rp')} AS ic FROM gv JOIN (SELECT model, period, slot, rp FROM sl) k USING (model, period, slot) GROUP BY 1, 2, 3),
-pk AS (SELECT model, period, draw, {_sql_hash(f"'{SEED}'", 'draw', 'period', 'slot')} % n + 1 AS slot FROM sl, dr),
-bs AS (SELECT model, period, draw, y_true, y_pred FROM pk JOIN (SELECT model, period, slot, y_true, y_pred FROM sl) k USING (model, period, slot)),
-br AS (SELECT model, period, draw, {P.sql_avg_rank('y_true', 'model, period, draw')} AS rt, {P.sql_avg_rank('y_pred', 'model, period, draw')} AS rp FROM bs),
-bd AS (SELECT model, period, draw, {sql_corr('rt', 'rp')} AS ic FROM br GROUP BY 1, 2, 3)"""
 
+def _significance(spark, sf, scope):
+    return G.analyze(P.predictions(spark, sf), DRAWS, SEED).where(F.col("scope") == scope).drop("scope")
 
-@query("permutation_null", f"WITH {_DRAWN} SELECT model, period, draw, round(ic, 9) AS ic FROM pn")
+
+@query("analyze_model")
 def _(spark, sf):
-    return rounded(G.permutation_null(P.predictions(spark, sf), DRAWS, SEED), 9)
+    return rounded(_significance(spark, sf, "pooled").drop("period"), 9)
 
 
-@query("bootstrap_dist", f"WITH {_DRAWN} SELECT model, period, draw, round(ic, 9) AS ic FROM bd")
+@query("split_significance")
 def _(spark, sf):
-    return rounded(G.bootstrap_dist(P.predictions(spark, sf), DRAWS, SEED), 9)
+    return rounded(_significance(spark, sf, "split"), 9)
 
 
-_POOLED = f"""{_DRAWN}, np AS (SELECT model, draw, round(CASE WHEN count(ic) = count(*) THEN avg(ic) END, 12) AS ic FROM pn GROUP BY 1, 2), bp AS (SELECT model, draw, CASE WHEN count(ic) = count(*) THEN avg(ic) END AS ic FROM bd GROUP BY 1, 2),
-oi AS (SELECT model, {sql_corr('rt', 'rp')} AS ic FROM rk GROUP BY model, period), ob AS (SELECT model, round(CASE WHEN count(ic) = count(*) THEN avg(ic) END, 12) AS o FROM oi GROUP BY 1),
-su AS (SELECT model, max(o) AS observed_ic, CASE WHEN max(o) IS NOT NULL AND count(ic) > 0 THEN (count(*) FILTER (WHERE abs(ic) >= abs(o)) + 1) / (count(ic) + 1) END AS p_value,
- 100 * (count(*) FILTER (WHERE ic < o) + 0.5 * count(*) FILTER (WHERE ic = o)) / CASE WHEN max(o) IS NOT NULL AND count(ic) > 0 THEN count(ic) END AS null_percentile, count(ic) AS draws FROM np JOIN ob USING (model) GROUP BY 1),
-ci AS (SELECT model, quantile_cont(ic, 0.025) AS ci_low, quantile_cont(ic, 0.975) AS ci_high FROM bp GROUP BY 1)"""
+@query("family_correction")
+def _(spark, sf):
+    return rounded(G.family_correction(_significance(spark, sf, "pooled").select("model", "p_value"), ["equal_weight", "robust_median"]), 9)
 
 
-def _summary(spark, sf):
-    p = P.predictions(spark, sf)
-    observed = E.pooled_ic(E.spearman_ic(p)).select("model", F.col("pooled_ic").alias("ic"))
-    return G.null_summary(observed, G.pooled_draws(G.permutation_null(p, DRAWS, SEED)), G.pooled_draws(G.bootstrap_dist(p, DRAWS, SEED)))
+@query("null_histogram")
+def _(spark, sf):
+    null = G.permutation_null(P.predictions(spark, sf), DRAWS, SEED)
+    return G.null_histogram(null.withColumn("ic", F.round("ic", 9)))
 
 
 @query(
-    "analyze_model",
-    f"WITH {_POOLED} SELECT model, round(observed_ic, 9) AS observed_ic, round(p_value, 9) AS p_value, round(null_percentile, 6) AS null_percentile, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, draws FROM su JOIN ci USING (model)",
+    "panel_balance",
+    f"""WITH {P.PREDICTIONS} SELECT model, count(DISTINCT entity) AS entities, count(DISTINCT period) AS periods, count(*) AS observations,
+ CASE WHEN count(y_true) < count(*) OR count(y_pred) < count(*) THEN 'unusable_values' WHEN count(DISTINCT entity) * count(DISTINCT period) <> count(*) THEN 'inconsistent_coverage' ELSE 'complete' END AS status FROM preds GROUP BY 1""",
 )
 def _(spark, sf):
-    return rounded(_summary(spark, sf), 9)
+    return G.panel_balance(P.predictions(spark, sf))
 
 
-@query(
-    "family_correction",
-    f"""WITH {_POOLED}, a AS (SELECT model, p_value, CASE WHEN model <> 'momentum' THEN least(1.0, p_value * 2) END AS adjusted_p FROM su)
-SELECT model, round(p_value, 9) AS p_value, round(adjusted_p, 9) AS adjusted_p, adjusted_p < 0.05 AS significant,
- model = (SELECT model FROM a WHERE model <> 'momentum' ORDER BY p_value, model LIMIT 1) AS headline FROM a""",
-)
+@query("cluster_bootstrap")
 def _(spark, sf):
-    return rounded(G.family_correction(_summary(spark, sf).select("model", "p_value"), ["equal_weight", "robust_median"]), 9)
+    return rounded(G.cluster_bootstrap(P.yearly_predictions(spark, sf), DRAWS, SEED), 9)
 
 
-@query(
-    "null_histogram",
-    f"WITH {_DRAWN} SELECT model, CAST(least(floor((ic + 1) / 2 * 40), 39) AS INTEGER) AS bin, count(*) AS n FROM (SELECT model, round(ic, 9) AS ic FROM pn) WHERE ic BETWEEN -1 AND 1 GROUP BY 1, 2",
-)
+@query("trajectory_permutation")
 def _(spark, sf):
-    null = G.permutation_null(P.predictions(spark, sf), DRAWS, SEED)
-    return G.null_histogram(null.withColumn("ic", F.round("ic", 9)))
+    return rounded(G.trajectory_permutation(P.yearly_predictions(spark, sf), DRAWS, SEED), 9)
+
+
+@query("rank_stability")
+def _(spark, sf):
+    return rounded(G.rank_stability(P.yearly_predictions(spark, sf), 2_000, SEED), 9)
 
 
 _LOO = f"""{_IC}, pairs AS (SELECT a.model, a.period, a.entity, b.y_true, b.y_pred FROM rk a JOIN rk b ON a.model = b.model AND a.period = b.period AND a.entity <> b.entity),

@@ -83,9 +83,24 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
     return pct_rank(targets(spark, sf), ["entity", "period"], ["period"], FEATURES)
 
 
+def yearly_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """supplier_year with the next year's revenue as target and percentile ranks of the features within the year."""
+    rows = next_period_target(supplier_year(spark, sf), "entity", "period", "revenue")
+    return pct_rank(rows, ["entity", "period"], ["period"], FEATURES)
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """(entity, period, model, y_true, y_pred) of three baseline scorers; rows with a realised target."""
-    r = ranked(spark, sf).where(F.col("target").isNotNull())
+    return baseline_predictions(ranked(spark, sf))
+
+
+def yearly_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same scorers by year: suppliers ship in every year, so the panel is balanced."""
+    return baseline_predictions(yearly_ranked(spark, sf))
+
+
+def baseline_predictions(r: DataFrame) -> DataFrame:
+    r = r.where(F.col("target").isNotNull())
     pct = [f"{c}__pct" for c in FEATURES]
     scores = F.array(
         F.struct(F.lit("equal_weight").alias("model"), rank_input(row_mean(pct)).alias("y_pred")),
@@ -172,6 +187,14 @@ RANKED = (
     + ", ".join(f"{sql_pct(c, 'period')} AS {c}__pct" for c in FEATURES)
     + " FROM targets)"
 )
+YEARLY_RANKED = (
+    YEARS
+    + """, targets AS (SELECT a.*, b.revenue AS target, CAST(a.period + 1 AS INTEGER) AS target_period
+  FROM years a LEFT JOIN years b ON b.entity = a.entity AND b.period = a.period + 1)"""
+    + ", ranked AS (SELECT *, "
+    + ", ".join(f"{sql_pct(c, 'period')} AS {c}__pct" for c in FEATURES)
+    + " FROM targets)"
+)
 _PCTS = [f"{c}__pct" for c in FEATURES]
 SQL_MEAN = (
     "round(("
@@ -181,13 +204,14 @@ SQL_MEAN = (
     + ", 0), 9)"
 )
 SQL_MEDIAN = f"round(list_aggregate([{', '.join(_PCTS)}], 'median'), 9)"
-PREDICTIONS = (
-    RANKED
-    + f""", preds AS (
+_PREDS = (
+    f""", preds AS (
   SELECT entity, period, 'equal_weight' AS model, target AS y_true, {SQL_MEAN} AS y_pred FROM ranked WHERE target IS NOT NULL
   UNION ALL SELECT entity, period, 'momentum', target, revenue__pct FROM ranked WHERE target IS NOT NULL
   UNION ALL SELECT entity, period, 'robust_median', target, {SQL_MEDIAN} FROM ranked WHERE target IS NOT NULL)"""
 )
+PREDICTIONS = RANKED + _PREDS
+YEARLY_PREDICTIONS = YEARLY_RANKED + _PREDS
 PRICES = "prices AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS close FROM lineitem GROUP BY 1, 2)"
 SPLITS = """splits AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS ex_date,
   CAST(min(l_linenumber) % 2 + 2 AS DOUBLE) AS ratio FROM lineitem

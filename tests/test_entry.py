@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["pooled_ic", "cost_scenarios", "null_histogram", "next_period_label", "label_distribution", "year_end_quote", "assign_regime", "table_checks", "validate_outcomes", "score_period"]
+SAMPLE = ["pooled_ic", "cost_scenarios", "panel_balance", "next_period_label", "label_distribution", "year_end_quote", "assign_regime", "table_checks", "validate_outcomes", "score_period"]
 
 
 def canon(rows, names):
