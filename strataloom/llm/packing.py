@@ -13,54 +13,144 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.llm.tokens import MARKS, byte_letters
 from strataloom.llm.words import slices
 from strataloom.session import shared_folder
 
 CACHED_UNITS, LONG_UNIT = 500_000, 64
+#: Bytes of text encoded together.
+SLICE = 8 << 20
 #: Unicode white space, as the tokenizer's own splitting takes it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the one space before it; a run of white space but for its last character before a word; any other run.
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Letters of the first blocks of Unicode with or without a space before them, and punctuation after them.
+LETTERS = "[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f]+"
+PLAIN = re.compile(f"( ?{LETTERS})([{re.escape(MARKS)}]*)")
 RANKS = 1 << 43
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of texts by a byte-level tokenizer, whose tokens never reach over white space but for one space before a word.
 
-    Units are encoded by the tokenizer once and kept; a text that holds one of its special tokens is encoded as a whole.
+    Where no two blanks stand together a text is its words after single spaces, so the distinct words of many texts are encoded
+    and the rest is looked up. Plain letters with punctuation after them are two pre-tokens, whose letters go to the tokenizer's merges
+    directly and are kept; any other word is cut into UNITs, and a text that holds a special token is encoded as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([f"[{WHITE}][{WHITE}]", *map(re.escape, self.special)])
+        self.kept, self.byte_letters = {}, byte_letters()
+
+    def trim(self) -> None:
+        if len(self.kept) > CACHED_UNITS:
+            self.kept.clear()
 
     def _plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self._plain(unit)
-        if len(unit) <= LONG_UNIT:
-            self[unit] = ids
+    def _letters(self, letters: str) -> bytes:
+        """Letters, with or without a space before them, as one pre-token."""
+        ids = self.kept.get(letters)
+        if ids is None:
+            if letters.isascii():  # all but the space stand for themselves
+                word = letters.replace(" ", self.byte_letters[32])
+            else:
+                word = letters.encode().decode("latin-1").translate(self.byte_letters)
+            ids = self.kept[letters] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return ids
+
+    def _marks(self, marks: str) -> bytes:
+        ids = self.kept.get(marks)
+        if ids is None:
+            ids = self.kept[marks] = self._plain(marks)
         return ids
 
+    def _unit(self, unit: str) -> bytes:
+        """A word with or without the space before it, or white space."""
+        plain = PLAIN.fullmatch(unit) if len(unit) <= LONG_UNIT else None
+        if plain is None:
+            return self._plain(unit)
+        letters, marks = plain.groups()
+        return self._letters(letters) + self._marks(marks) if marks else self._letters(letters)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
             return self._plain(text)
-        return b"".join(map(self.__getitem__, UNIT.findall(text)))
+        return b"".join(map(self._unit, UNIT.findall(text)))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, each after a space, one after another; and how many each has."""
+        cores = pc.utf8_rtrim(words, MARKS)
+        plain = pc.and_(pc.match_substring_regex(cores, f"^{LETTERS}$"), pc.less_equal(pc.utf8_length(words), LONG_UNIT))
+        letters = cores.filter(plain).dictionary_encode()
+        marks = pc.replace_substring_regex(words.filter(plain), f"^{LETTERS}", "").dictionary_encode()
+        known = [self._letters(f" {x}") for x in letters.dictionary.to_pylist()]
+        known += [self._marks(x) if x else b"" for x in marks.dictionary.to_pylist()]
+        odd = [self.encode(f" {x}") for x in words.filter(pc.invert(plain)).to_pylist()]
+        # every word is two parts, the second of an odd one empty
+        parts = np.full((len(words), 2), len(known) + len(odd))
+        at = plain.to_numpy(zero_copy_only=False)
+        parts[at, 0] = letters.indices.to_numpy()
+        parts[at, 1] = len(letters.dictionary) + marks.indices.to_numpy().astype(np.int64)
+        parts[~at, 0] = len(known) + np.arange(len(odd))
+        ids, sizes = _strung(*_flat([*known, *odd, b""]), parts.ravel())
+        return ids, sizes.reshape(-1, 2).sum(axis=1)
+
+    def encode_all(self, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
+        """Ids of each text with the end id after them, in order."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        usual = texts.filter(pa.array(~odd))
+        split = pc.split_pattern(usual, " ")
+        coded = split.flatten().dictionary_encode()
+        codes, ends = coded.indices.to_numpy().astype(np.int64), np.cumsum(split.value_lengths().to_numpy().astype(np.int64))
+        # a text's first word has no space before it; the end id is a word of its own after the last
+        firsts = [self.encode(t) for t in pc.list_element(split, 0).to_pylist()] if len(usual) else []
+        end_id = array("I", [end]).tobytes()
+        codes[np.append(0, ends[:-1])[: len(firsts)]] = len(coded.dictionary) + np.arange(len(firsts))
+        codes = np.insert(codes, ends, len(coded.dictionary) + len(firsts))
+        ends = ends + np.arange(1, len(ends) + 1)
+        words, rest = self._words(coded.dictionary), _flat([*firsts, end_id])
+        ids, each = _strung(*map(np.concatenate, zip(words, rest)), codes)
+        bounds = np.append(0, np.cumsum(each)[ends - 1]) if len(ends) else np.zeros(1, np.int64)
+        row = 0
+        for k, alone in enumerate(odd.tolist()):
+            if alone:
+                yield np.frombuffer(self.encode(texts[k].as_py()) + end_id, np.uint32)
+            else:
+                yield ids[bounds[row] : bounds[row + 1]]
+                row += 1
+
+
+def _flat(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit ids one after another, and how many each entry has."""
+    return np.frombuffer(b"".join(held), np.uint32), np.fromiter(map(len, held), np.int64, len(held)) >> 2
+
+
+def _strung(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a flat table strung together in the order of `codes`, and their sizes."""
+    each = sizes[codes]
+    total = np.cumsum(each)
+    shift = (np.cumsum(sizes) - sizes)[codes] - (total - each)
+    return flat[np.repeat(shift, each) + np.arange(total[-1] if len(total) else 0)], each
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -87,18 +177,14 @@ PIECE = {"id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": p
 
 
 def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
-    end = array("I", [end_id]).tobytes()
-
     def pieces(batches):
-        units, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text"):
-            if len(units) > CACHED_UNITS:
-                units.clear()
+        held_words, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in slices(batches, "text", SLICE):
+            held_words.trim()
             rows = {k: [] for k in PIECE} | ({"ids": []} if keep_ids else {})
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                ids = units.encode(text) + end
-                for k, (at, to) in enumerate(cuts(len(ids) >> 2, capacity)):
-                    held = ids[4 * at : 4 * to]
+            for key, ids in zip(batch.column("id").to_pylist(), held_words.encode_all(batch.column("text"), end_id)):
+                for k, (at, to) in enumerate(cuts(len(ids), capacity)):
+                    held = ids[at:to].tobytes()
                     row = (key, k, at, to - at, zlib.crc32(held), part, seen[to - at], held)
                     seen[to - at] += 1
                     for column, value in zip(rows.values(), row):

@@ -26,7 +26,7 @@ PLAIN_LETTERS = "\u0180"
 SHARDS = "part int, turn int, first_doc long, ids long, docs binary, lengths binary, matrix binary"
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the rest from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in shown]
@@ -47,7 +47,7 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.end, self.letters, self.byte_letters = array("I", [end_id]).tobytes(), {}, _byte_letters()
+        self.end, self.letters, self.byte_letters = array("I", [end_id]).tobytes(), {}, byte_letters()
 
     def _plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
