@@ -11,33 +11,72 @@ from pyspark.sql import functions as F
 from strataloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone", "term")
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
+#: Possessive repeats and starts only where a run begins (or the match before ended) keep every pattern linear in the text.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A run of digits, spaces and hyphens long enough for a card; two separators in a row end a number in it.
 CARD_RUN, CARD_BREAK = r"[0-9][0-9\x20-]{10,}[0-9]", r"[\x20-]{2,}"
 LETTERS = r"\p{L}+"
 SPANS = "array<struct<start: int, rank: int, end: int, kind: string>>"
+#: Code points of a piece of a long text, so that a part of it is found without counting from its start.
+PIECE = 4096
+BUCKETS, SALTS = 1 << 20, 16
 
 
 def _total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
 
 
+def _most(ends: Column) -> Column:
+    return F.aggregate(ends, F.lit(0), lambda a, x: F.greatest(a, x))
+
+
+def _let(fn, **values: Column) -> Column:
+    """fn of a struct of values, each worked out once; inside a lambda a plain expression would be worked out for every element."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), fn), F.lit(0))
+
+
+def _before(numbers: Column, fold) -> Column:
+    """fold of the numbers before each one, by blocks of about the root of their count: blocks before it, then its own block."""
+
+    def blocks(h):
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(h["x"]))).cast("int"))
+        return _let(lambda k: heads(h["x"], k["n"]), n=size)
+
+    def heads(x, n):
+        starts = F.sequence(F.lit(1), F.size(x), n)
+        whole = lambda h: F.transform(h["t"], lambda _, i: fold(F.slice(h["t"], F.lit(1), i)))
+        return _let(lambda g: _let(lambda h: places(x, n, h["heads"]), heads=whole(g)), t=F.transform(starts, lambda s: fold(F.slice(x, s, n))))
+
+    def places(x, n, head):
+        at = lambda i: F.floor(i / n).cast("int")
+        both = lambda i: fold(F.array(F.get(head, at(i)), fold(F.slice(x, at(i) * n + 1, i - at(i) * n))))
+        return F.transform(x, lambda _, i: both(i))
+
+    return F.when(F.size(numbers) == 0, F.array().cast("array<int>")).otherwise(_let(blocks, x=numbers))
+
+
 def _found(text: Column, pattern: str) -> Column:
     """(start, value) of every match, leftmost first, none over another."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(values, F.length)
-    return F.transform(values, lambda v, i: F.struct((_total(F.slice(gaps, F.lit(1), i + 1)) + _total(F.slice(sizes, F.lit(1), i))).alias("start"), v.alias("value")))
+
+    def placed(h):
+        steps = F.transform(h["values"], lambda v, i: F.get(h["gaps"], i) + F.length(v))
+        start = lambda b: F.transform(h["values"], lambda v, i: F.struct((F.get(b["before"], i) + F.get(h["gaps"], i)).alias("start"), v.alias("value")))
+        return _let(start, before=_before(steps, _total))
+
+    return _let(placed, values=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps=F.transform(F.split(text, pattern, -1), F.length))
 
 
 def _between(text: Column, pattern: str) -> Column:
     """(start, value) of what stands between matches."""
-    values = F.split(text, pattern, -1)
-    sizes = F.transform(values, F.length)
-    seps = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    return F.transform(values, lambda v, i: F.struct((_total(F.slice(sizes, F.lit(1), i)) + _total(F.slice(seps, F.lit(1), i))).alias("start"), v.alias("value")))
+
+    def placed(h):
+        steps = F.transform(h["values"], lambda v, i: F.length(v) + F.coalesce(F.get(h["seps"], i), F.lit(0)))
+        start = lambda b: F.transform(h["values"], lambda v, i: F.struct(F.get(b["before"], i).alias("start"), v.alias("value")))
+        return _let(start, before=_before(steps, _total))
+
+    return _let(placed, values=F.split(text, pattern, -1), seps=F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length))
 
 
 def _digits(value: Column) -> Column:
@@ -85,8 +124,27 @@ def span_count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def _part(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, end - start)
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points start..end of a text given in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    held = F.slice(pieces, first + 1, F.greatest(F.lit(0), F.ceil(end / PIECE).cast("int") - first))
+
+    def cut(piece, k):
+        base = (first + k) * PIECE
+        low = F.greatest(start - base, F.lit(0))
+        return F.substring(piece, low + 1, F.least(end - base, F.lit(PIECE)) - low)
+
+    return F.array_join(F.transform(held, cut), "")
+
+
+def _entities(text: Column, spans: Column) -> Column:
+    """kind:value of each span, in lower case, each once."""
+    named = lambda h: F.transform(h["spans"], lambda s: F.concat_ws(":", s["kind"], F.lower(_part(h["pieces"], s["start"], s["end"]))))
+    return F.array_distinct(_let(named, pieces=_pieces(text), spans=spans))
 
 
 def _terms(text: Column) -> Column:
@@ -103,8 +161,7 @@ def revealing_terms(docs: DataFrame, holders: DataFrame, together: int = 3, disc
     without it. A pair counts from `together` distinct texts on, wherever the two stand in them. Probabilities are
     shares of all documents; a term's count covers every document of `docs` (column text).
     """
-    entity = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(_part(F.col("text"), s["start"], s["end"]))))
-    held = holders.select("content", "rows", F.explode(F.array_distinct(entity)).alias("entity"))
+    held = holders.select("content", "rows", F.explode(_entities(F.col("text"), F.col("spans"))).alias("entity"))
     entities = held.groupBy("entity").agg(F.sum("rows").alias("entity_docs"), F.count("*").alias("in_texts"))
     # an entity of fewer texts has no pair that counts, so only the others meet the terms of their texts
     entities = cut_lineage(entities.where(F.col("in_texts") >= together).drop("in_texts"))
@@ -119,12 +176,27 @@ def revealing_terms(docs: DataFrame, holders: DataFrame, together: int = 3, disc
     return found.where(F.col("ratio") >= disclosure).select("entity", "term", "ratio")
 
 
-def _term_spans(holders: DataFrame, revealing: DataFrame) -> DataFrame:
-    """content, terms: spans of the revealing terms of a text's own entities, with `gone` where the ratio is highest."""
-    entities = holders.select("content", "text", F.explode("spans").alias("span"))
-    entities = entities.select("content", F.concat_ws(":", "span.kind", F.lower(_part(F.col("text"), F.col("span.start"), F.col("span.end")))).alias("entity")).distinct()
-    wanted = entities.join(revealing, "entity").groupBy("content", "term").agg(F.max("ratio").alias("ratio"))
-    texts = holders.join(wanted.select("content").distinct(), "content")
+def _flagged(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key may be in `wanted` (column of the same name): a broadcast of at most BUCKETS numbers decides, whatever the sizes."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    buckets = wanted.select(bucket(key).alias("__bucket")).distinct()
+    return df.withColumn("__bucket", bucket(key)).join(F.broadcast(buckets), "__bucket", "left_semi").drop("__bucket")
+
+
+def _standing(known: DataFrame, revealing: DataFrame) -> DataFrame:
+    """(content, term, ratio): the revealing terms that stand in each text, whether it holds their entity or not.
+
+    Words that can't be among the terms are dropped before the shuffle; the rest meet the terms by (term, salt), as one term may be frequent.
+    """
+    terms = cut_lineage(revealing.groupBy("term").agg(F.max("ratio").alias("ratio")))
+    words = _flagged(known.select("content", F.explode(_terms(F.col("text"))).alias("term")), "term", terms)
+    words = words.withColumn("__salt", F.pmod(F.xxhash64("content"), F.lit(SALTS)))
+    salted = terms.withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    return words.join(salted, ["term", "__salt"]).groupBy("content", "term").agg(F.max("ratio").alias("ratio"))
+
+
+def _term_spans(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """content, terms: spans of the wanted terms of each text (content, text, spans), with `gone` where the ratio is highest."""
     words = F.arrays_zip(
         F.transform(F.split("text", LETTERS, -1), F.length).alias("gap"),
         F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0)).alias("word"),
@@ -142,41 +214,58 @@ def _term_spans(holders: DataFrame, revealing: DataFrame) -> DataFrame:
 
 def _replaced(text: Column, spans: Column, gone: Column) -> Column:
     """The text with each span replaced by its kind in brackets; terms that never stand apart from an entity are removed."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        label = F.when(F.array_contains(gone, s["start"]) & (s["kind"] == "term"), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        out = F.when(fresh, F.concat(acc["out"], _part(text, acc["at"], s["start"]), label)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def rewritten(h):
+        def piece(s, i):
+            at = F.get(h["at"], i)
+            label = F.when((s["kind"] == "term") & F.array_contains(h["gone"], s["start"]), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.when(s["start"] >= at, F.concat(_part(h["pieces"], at, s["start"]), label)).otherwise("")
+
+        rest = _part(h["pieces"], _most(h["spans"]["end"]), h["size"])
+        return F.concat(F.array_join(F.transform(h["spans"], piece), ""), rest)
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], _part(text, acc["at"], F.length(text))))
+    ends = F.transform(spans, lambda s: s["end"])
+    return _let(rewritten, pieces=_pieces(text), spans=spans, gone=gone, size=F.length(text), at=_before(ends, _most))
+
+
+def _content(text: Column) -> Column:
+    """A text's 128-bit name."""
+    return F.concat_ws(":", F.xxhash64(text).cast("string"), F.xxhash64(F.lit(1), text).cast("string"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", together: int = 3, disclosure: float = 0.9) -> DataFrame:
     """One row a document: id, base (pattern spans), spans (those and revealing terms), clean_text.
 
     A term that stands with an entity in at least `together` distinct texts, however far off, whose mutual information
-    with it reaches `disclosure` times the entity's information content, is a span of kind `term` wherever
-    it stands in documents that hold the entity. In clean_text patterns and terms give way to their kind in
-    brackets; a term never seen without the entity is removed. Terms are runs of letters in lower case.
-
-    Null texts count as empty and have no spans; rows with one id are separate documents; rows of equal
-    text (told by a 64-bit hash and its length) get equal spans. An empty table gives no rows.
+    with it reaches `disclosure` times the entity's information content, is a span of kind `term` wherever it stands, also in documents
+    that don't show the entity, as it gives the entity away there. In clean_text patterns and terms give way to their kind in
+    brackets; a term never seen without the entity is removed. Terms are runs of letters in lower case. Entities in fewer texts
+    have no terms: what they stand with once or twice says nothing of either.
+
+    Null texts count as empty and have no spans. Texts of any length are read whole: patterns are linear in the text, places of n matches
+    take n times the root of n steps. Rows with one id are separate documents; rows of equal text (told by a 128-bit
+    hash) get equal spans. Other columns, whatever their names, are ignored. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    known = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    marked = known.withColumn("base", personal_spans(F.col("text")))
-    content = F.concat_ws(":", F.xxhash64("text").cast("string"), F.length("text").cast("string"))
-    holders = marked.where(F.size("base") > 0).groupBy(content.alias("content")).agg(F.first("text").alias("text"), F.first("base").alias("spans"), F.count("*").alias("rows"))
+    known = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("content", _content(F.col("text")))
+    base = personal_spans(F.col("text"))
+    marked = known.withColumn("base", base)
+    holders = marked.where(F.size("base") > 0).groupBy("content").agg(F.first("text").alias("text"), F.first("base").alias("spans"), F.count("*").alias("rows"))
     holders = cut_lineage(holders)
-    terms = _term_spans(holders, revealing_terms(known, holders, together, disclosure))
-    # documents without personal data match nothing; keys of their own keep them apart
-    alone = F.concat_ws(":", F.lit("none"), F.coalesce(F.col("id").cast("string"), F.xxhash64("text").cast("string")))
-    key = F.when(F.size("base") > 0, content).otherwise(alone)
-    joined = marked.withColumn("content", key).join(terms, "content", "left")
+    wanted = cut_lineage(_standing(known, revealing_terms(known, holders, together, disclosure)))
+    # texts without a term are written as they are read; the others, and those that share a bucket with them, meet their terms
+    hit = _flagged(known, "content", wanted)
+    texts = hit.join(wanted.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+    terms = _term_spans(texts.withColumn("spans", base), wanted)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    salted = terms.withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    joined = hit.withColumn("__salt", salt).join(salted, ["content", "__salt"], "left").drop("__salt")
+    bucket = F.pmod(F.xxhash64("content"), F.lit(BUCKETS))
+    buckets = wanted.select(bucket.alias("__bucket")).distinct()
+    plain = known.withColumn("__bucket", bucket).join(F.broadcast(buckets), "__bucket", "left_anti").drop("__bucket")
+    none = plain.withColumns({"terms": F.array().cast(SPANS), "gone": F.array().cast("array<int>")})
+    both = joined.unionByName(none).withColumn("base", base)
     spans = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(SPANS))))
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    clean = F.when(F.size("base") > 0, _replaced(F.col("text"), F.col("spans"), F.col("__gone"))).otherwise(F.col("text"))
-    out = joined.withColumn("spans", spans).withColumn("__gone", gone)
-    return out.select(F.col("id").alias(id_col), "base", "spans", clean.alias("clean_text"))
+    both = both.withColumn("spans", spans).withColumn("__gone", F.coalesce("gone", F.array().cast("array<int>")))
+    clean = F.when(F.size("spans") > 0, _replaced(F.col("text"), F.col("spans"), F.col("__gone"))).otherwise(F.col("text"))
+    return both.select(F.col("id").alias(id_col), "base", "spans", clean.alias("clean_text"))
