@@ -183,15 +183,20 @@ class Logistic:
     rows: int
 
 
-def fit_logistic(train: DataFrame, cols: Sequence[str], label: str = "label", c: float = 1.0, least: int = 4) -> Logistic | None:
-    """Logistic regression on standardised, mean-filled columns; None for fewer than `least` rows or one class."""
+def fit_logistic(train: DataFrame, cols: Sequence[str], label: str = "label", c: float = 1.0, least: int = 4, balanced: bool = False) -> Logistic | None:
+    """Logistic regression on standardised, mean-filled columns; None for fewer than `least` rows or one class.
+
+    With `balanced` both classes weigh the same.
+    """
     train = train.where(F.col(label).isNotNull())
-    seen = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("classes")).first()
+    seen = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("classes"), F.sum(F.col(label).cast("double")).alias("up")).first()
     if seen["n"] < least or seen["classes"] < 2:
         return None
     moments = column_moments(train, cols)
     rows = assembled(standardised(train, cols, moments), [f"z_{x}" for x in cols]).select("features", F.col(label).cast("double").alias("label"))
-    model = LogisticRegression(regParam=1 / (c * seen["n"]), standardization=False, maxIter=500, tol=1e-10).fit(rows)
+    even = F.when(F.col("label") == 1, seen["n"] / (2 * seen["up"])).otherwise(seen["n"] / (2 * (seen["n"] - seen["up"])))
+    rows = rows.withColumn("weight", even if balanced else F.lit(1.0))
+    model = LogisticRegression(weightCol="weight", regParam=1 / (c * seen["n"]), standardization=False, maxIter=500, tol=1e-10).fit(rows)
     return Logistic(float(model.intercept), [float(v) for v in model.coefficients], moments, seen["n"])
 
 
