@@ -5,7 +5,7 @@ Everything is DataFrame expressions. Spans are structs (start, rank, end, kind)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.session import cut_lineage
@@ -183,33 +183,27 @@ def _flagged(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.withColumn("__bucket", bucket(key)).join(F.broadcast(buckets), "__bucket", "left_semi").drop("__bucket")
 
 
+def _places(text: Column) -> Column:
+    """Every word of a text: its term and where it stands."""
+    return F.transform(_found(text, LETTERS), lambda w: F.struct(F.lower(w["value"]).alias("term"), w["start"].alias("start"), (w["start"] + F.length(w["value"])).alias("end")))
+
+
 def _standing(known: DataFrame, revealing: DataFrame) -> DataFrame:
-    """(content, term, ratio): the revealing terms that stand in each text, whether it holds their entity or not.
+    """content, terms, gone: where the revealing terms stand in each text, whether it holds their entity or not; `gone` where the ratio is highest.
 
-    Words that can't be among the terms are dropped before the shuffle; the rest meet the terms by (term, salt), as one term may be frequent.
+    Words that can't be among the terms are dropped before the shuffle; the rest meet the terms by (term, salt), the salt of a row, as one
+    term may be frequent and one text may have many copies. Texts themselves are not shuffled.
     """
     terms = cut_lineage(revealing.groupBy("term").agg(F.max("ratio").alias("ratio")))
-    words = _flagged(known.select("content", F.explode(_terms(F.col("text"))).alias("term")), "term", terms)
-    words = words.withColumn("__salt", F.pmod(F.xxhash64("content"), F.lit(SALTS)))
-    salted = terms.withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    return words.join(salted, ["term", "__salt"]).groupBy("content", "term").agg(F.max("ratio").alias("ratio"))
-
-
-def _term_spans(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """content, terms: spans of the wanted terms of each text (content, text, spans), with `gone` where the ratio is highest."""
-    words = F.arrays_zip(
-        F.transform(F.split("text", LETTERS, -1), F.length).alias("gap"),
-        F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0)).alias("word"),
-    )
-    words = texts.select("content", "spans", F.posexplode(words).alias("at", "w")).select("content", "spans", "at", F.col("w.gap").alias("gap"), F.col("w.word").alias("word")).where("word IS NOT NULL")
-    order = Window.partitionBy("content").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.sum(F.col("gap") + F.length("word")).over(order)
-    words = words.withColumn("end", before.cast("int")).withColumn("start", (F.col("end") - F.length("word")).cast("int"))
-    apart = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    words = words.withColumn("term", F.lower("word")).where(apart).join(wanted, ["content", "term"])
-    rank = KINDS.index("term")
-    span = F.struct("start", F.lit(rank).alias("rank"), "end", F.lit("term").alias("kind"))
-    return words.groupBy("content").agg(F.array_sort(F.collect_list(span)).alias("terms"), F.collect_set(F.when(F.col("ratio") >= 1 - 1e-9, F.col("start"))).alias("gone"))
+    rows = known.select("content", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("__salt"), F.explode(_places(F.col("text"))).alias("w"))
+    words = _flagged(rows.select("content", "__salt", "w.*"), "term", terms)
+    hits = words.join(_salted(terms), ["term", "__salt"]).groupBy("content", "start", "end").agg(F.max("ratio").alias("ratio"))
+    span = F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end", F.lit("term").alias("kind"))
+    return hits.groupBy("content").agg(F.array_sort(F.collect_list(span)).alias("terms"), F.collect_set(F.when(F.col("ratio") >= 1 - 1e-9, F.col("start"))).alias("gone"))
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
 
 
 def _replaced(text: Column, spans: Column, gone: Column) -> Column:
@@ -248,24 +242,19 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     known = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("content", _content(F.col("text")))
-    base = personal_spans(F.col("text"))
-    marked = known.withColumn("base", base)
+    marked = known.withColumn("base", personal_spans(F.col("text")))
     holders = marked.where(F.size("base") > 0).groupBy("content").agg(F.first("text").alias("text"), F.first("base").alias("spans"), F.count("*").alias("rows"))
     holders = cut_lineage(holders)
-    wanted = cut_lineage(_standing(known, revealing_terms(known, holders, together, disclosure)))
+    terms = cut_lineage(_standing(known, revealing_terms(known, holders, together, disclosure)))
     # texts without a term are written as they are read; the others, and those that share a bucket with them, meet their terms
-    hit = _flagged(known, "content", wanted)
-    texts = hit.join(wanted.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
-    terms = _term_spans(texts.withColumn("spans", base), wanted)
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
-    salted = terms.withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    joined = hit.withColumn("__salt", salt).join(salted, ["content", "__salt"], "left").drop("__salt")
+    hit = _flagged(marked, "content", terms).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    joined = hit.join(_salted(terms), ["content", "__salt"], "left").drop("__salt")
     bucket = F.pmod(F.xxhash64("content"), F.lit(BUCKETS))
-    buckets = wanted.select(bucket.alias("__bucket")).distinct()
-    plain = known.withColumn("__bucket", bucket).join(F.broadcast(buckets), "__bucket", "left_anti").drop("__bucket")
+    buckets = terms.select(bucket.alias("__bucket")).distinct()
+    plain = marked.withColumn("__bucket", bucket).join(F.broadcast(buckets), "__bucket", "left_anti").drop("__bucket")
     none = plain.withColumns({"terms": F.array().cast(SPANS), "gone": F.array().cast("array<int>")})
-    both = joined.unionByName(none).withColumn("base", base)
-    spans = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(SPANS))))
-    both = both.withColumn("spans", spans).withColumn("__gone", F.coalesce("gone", F.array().cast("array<int>")))
+    both = joined.unionByName(none)
+    apart = F.filter(F.coalesce("terms", F.array().cast(SPANS)), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    both = both.withColumn("spans", F.array_sort(F.concat("base", apart))).withColumn("__gone", F.coalesce("gone", F.array().cast("array<int>")))
     clean = F.when(F.size("spans") > 0, _replaced(F.col("text"), F.col("spans"), F.col("__gone"))).otherwise(F.col("text"))
     return both.select(F.col("id").alias(id_col), "base", "spans", clean.alias("clean_text"))
