@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strataloom.operators import evaluation as E
+from strataloom.operators import importance as I
 from strataloom.operators import models as M
 from strataloom.plans import panels as P
 from strataloom.plans.registry import query, rounded
@@ -92,3 +93,19 @@ def _(spark, sf):
     scores = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("probability")) for m, c in models.items()]))
     out = M.ensemble(P.yearly_ranked(spark, sf).select("entity", "period", scores.alias("s")).select("entity", "period", "s.*"), ["entity", "period"])
     return out.withColumn("models", F.concat(F.lit("["), F.array_join("models", ", "), F.lit("]")))
+
+
+@query(
+    "mutual_information",
+    f"""WITH {P.YEARLY_RANKED}, r AS (SELECT * FROM ranked WHERE target IS NOT NULL), b AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, floor((rank() OVER (ORDER BY {c}) - 1) * 10 / count(*) OVER ()) AS x, entity, period FROM r WHERE {c} IS NOT NULL" for c in P.FEATURES)}),
+t AS (SELECT entity, period, floor((rank() OVER (ORDER BY target) - 1) * 10 / count(*) OVER ()) AS y FROM r), c AS (SELECT feature, x, y, count(*) AS n FROM b JOIN t USING (entity, period) GROUP BY 1, 2, 3),
+m AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS s, sum(n) OVER (PARTITION BY feature, x) AS sx, sum(n) OVER (PARTITION BY feature, y) AS sy FROM c)
+SELECT feature, round(sum(n / s * ln(n * s / (sx * sy))), 6) AS mutual_information FROM m GROUP BY 1""",
+)
+def _(spark, sf):
+    return rounded(I.mutual_information(_panel(spark, sf), P.FEATURES, ["entity", "period"], "target"))
+
+
+@query("feature_importance")
+def _(spark, sf):
+    return rounded(I.importances(_panel(spark, sf), P.FEATURES, ["entity", "period"], "target"))

@@ -67,15 +67,53 @@ def test_pit_guard_and_ingest(spark, tmp_path):
     out = K.stream_pit_guard(values, predictions, "ticker", "available", "at", delay="2 hours").collect()
     assert {(r.ticker, r.status) for r in out} == {("a", "on_time"), ("b", "late"), ("c", "missing")}
 
-    good, bad = {}, {}
-    handle = K.ingest_batch(
-        {"positive": F.col("v") > 0}, ["ticker"], lambda d, n: good.__setitem__(n, d.collect()), lambda d, n: bad.__setitem__(n, d.collect())
-    )
-    schema = "ticker string, v double"
+    bad, folder = {}, str(tmp_path / "table")
+    handle = K.ingest_batch({"positive": F.col("v") > 0}, ["ticker"], ["turn"], K.write_changes(folder), lambda d, n: bad.__setitem__(n, d.collect()))
+    schema = "ticker string, turn long, v double"
     source = tmp_path / "in"
     source.mkdir()
-    for rows in ([("a", 1.0), ("a", 2.0), ("b", -1.0)], [("c", None)]):
+    batches = [[("a", 2, 1.0), ("a", 1, 2.0), ("b", 1, -1.0), ("d", 1, 5.0)], [("c", 1, None), ("d", 2, 6.0)]]
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(source))
         spark.readStream.schema(schema).json(str(source)).writeStream.foreachBatch(handle).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert [(r.ticker, r.v) for n in good for r in good[n]] == [("a", 2.0)]
+    now = lambda: sorted((r.ticker, r.v) for r in K.current_rows(spark, folder, ["ticker"]).collect())
+    # the last by turn, not by place in the file; a later batch replaces its keys
+    assert now() == [("a", 1.0), ("d", 6.0)]
     assert [(r.ticker, r.issue_type) for n in sorted(bad) for r in bad[n]] == [("b", "positive"), ("c", "positive")]
+    handle(spark.createDataFrame(batches[1], schema), 1)
+    assert now() == [("a", 1.0), ("d", 6.0)]
+
+
+def test_sessions_and_repeats(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "d").mkdir()
+    schema = "entity string, at timestamp, event string"
+    batches = [[("a", hours(0), "x"), ("a", hours(1), "y"), ("a", hours(1), "y")], [("a", hours(2), "z"), ("a", hours(1), "y")], [("a", hours(20), "w"), ("b", hours(20), "q")], [("b", hours(60), "end")], [("b", hours(90), "end2")]]
+    out = fed(spark, tmp_path / "s", batches, schema, lambda s: K.stream_sessions(s, "entity", "at", "5 hours"), "append", None)
+    assert {(r.entity, r.session_start, r.session_end, r.n_events) for r in out} >= {("a", hours(0), hours(7), 5), ("a", hours(20), hours(25), 1), ("b", hours(20), hours(25), 1)}
+    kept = fed(spark, tmp_path / "d", batches, schema, lambda s: K.stream_distinct(s, ["entity", "event"], "at"), "append", None)
+    assert sorted((r.entity, r.event) for r in kept) == [("a", "w"), ("a", "x"), ("a", "y"), ("a", "z"), ("b", "end"), ("b", "end2"), ("b", "q")]
+
+
+def test_ledger_codes_in_one_batch(spark, tmp_path):
+    """Every code, on a batch of many lines, against the plain chain."""
+
+    def line(n, previous, body):
+        return [n, previous, body, hashlib.sha256(f"{previous}|{body}".encode()).hexdigest()]
+
+    chains = {}
+    for name in ("fine", "missing_line", "broken_link", "hash_mismatch", "missing_field"):
+        chain = [line(1, GENESIS, "x")]
+        for n in range(2, 40):
+            chain.append(line(n, chain[-1][3], f"x{n}"))
+        chains[name] = chain
+    del chains["missing_line"][20]
+    chains["broken_link"][20] = line(21, "0" * 64, "x21")
+    chains["hash_mismatch"][20][2] = "changed"
+    chains["missing_field"][20][1] = None
+    rows = [(name, *held) for name, chain in chains.items() for held in reversed(chain)]
+    out = fed(spark, tmp_path, [rows[:1], rows[1:]], "ledger string, seq long, previous_hash string, body string, hash string", lambda s: K.stream_ledger_check(s, "ledger", "seq"), "update", ["ledger"])
+    found = {k[0]: (r.first_bad_line, r.code) for k, r in out.items()}
+    # the first line of `fine` to arrive is its last, alone in its batch
+    assert found["fine"] == (39, "missing_line")
+    assert {k: v for k, v in found.items() if k != "fine"} == {"missing_line": (22, "missing_line"), "broken_link": (21, "broken_link"), "hash_mismatch": (21, "hash_mismatch"), "missing_field": (21, "missing_field")}
