@@ -31,9 +31,9 @@ TOLD = "chunk int, keys binary"
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
-    """chunk, id, text; the id cast to long."""
+    """chunk, id, text; the id cast to long. Rows are dealt by id and text, so that null or repeated ids fill all chunks."""
     key = F.col(id_col).cast("long")
-    return docs.select(F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk"), key.alias("id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.pmod(F.xxhash64(key, F.col(text_col).cast("string")), F.lit(chunks)).cast("int").alias("chunk"), key.alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def chunk_count(docs: DataFrame) -> int:

@@ -1,7 +1,7 @@
 import random
 import re
 
-from strataloom.llm.repeats import remove_repeats
+from strataloom.llm.repeats import chunked, remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,3 +65,12 @@ def test_null_id_and_empty_table(spark):
     docs = spark.createDataFrame([(None, text), (7, text), (None, text)], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.n_removed) for r in remove_repeats(docs).collect()) == [(-1, 20), (-1, 20), (7, 0)]
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_null_ids_are_dealt_over_all_chunks(spark):
+    """A third of the rows without an id: no chunk holds them all, and results are those of one chunk."""
+    rows = [(None if i % 3 == 0 else i, f"w{i} " + " ".join(f"x{(i * k) % 50}" for k in range(30))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["count"] for r in chunked(docs, "doc_id", "text", 16).groupBy("chunk").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * 600 / 16
+    assert remove_repeats(docs).count() == 600
