@@ -95,7 +95,8 @@ def _(spark, sf):
 @query(
     "event_carry_forward",
     """WITH e AS (SELECT o_custkey AS entity, year(o_orderdate) AS effective, arg_min(o_totalprice, o_orderkey) AS shares FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 0 GROUP BY 1, 2),
-g AS (SELECT c_custkey AS entity, CAST(y AS INTEGER) AS period FROM customer, range(1992, 2003) t(y))
+r AS (SELECT min(year(o_orderdate)) AS low, max(year(o_orderdate)) AS high FROM orders),
+g AS (SELECT c_custkey AS entity, CAST(unnest(range(low, high + 1)) AS INTEGER) AS period FROM customer, r)
 SELECT g.entity, g.period, e.shares, CAST(e.effective AS INTEGER) AS effective, CASE WHEN e.shares IS NULL THEN 'missing_prior_event' ELSE 'carried_forward' END AS status
 FROM g ASOF LEFT JOIN e ON e.entity = g.entity AND e.effective <= g.period""",
 )
@@ -103,7 +104,10 @@ def _(spark, sf):
     ev = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(
         F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("effective"), "o_orderkey", F.col("o_totalprice").alias("shares")
     )
-    grid = B.period_grid(table(spark, sf, "customer").withColumnRenamed("c_custkey", "entity"), "entity", 1992, 2002)
+    span = table(spark, sf, "orders").agg(F.min(F.year("o_orderdate")).alias("low"), F.max(F.year("o_orderdate")).alias("high"))
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"))
+    # one row
+    grid = customers.join(F.broadcast(span)).select("entity", F.explode(F.sequence("low", "high")).alias("period"))
     return B.carry_forward(ev, grid, "entity", "period", "effective", "o_orderkey", "shares")
 
 

@@ -217,3 +217,24 @@ def _(spark, sf):
     known = table(spark, sf, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("entity"))
     out = Q.validate_outcomes(known, o, "entity", F.lit("1995-06-01").cast("date"), F.lit("2001-06-01").cast("date"))
     return out.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "ledger_verify",
+    """WITH RECURSIVE o AS (SELECT o_custkey AS ledger, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq, o_orderkey, CAST(o_orderkey AS VARCHAR) AS body FROM orders),
+c AS (SELECT ledger, seq, o_orderkey, body, repeat('0', 64) AS previous_hash, sha256(repeat('0', 64) || '|' || body) AS hash FROM o WHERE seq = 1
+ UNION ALL SELECT o.ledger, o.seq, o.o_orderkey, o.body, c.hash, sha256(c.hash || '|' || o.body) FROM c JOIN o ON o.ledger = c.ledger AND o.seq = c.seq + 1),
+t AS (SELECT ledger, seq, previous_hash, hash, CASE WHEN o_orderkey % 37 = 0 THEN body || 'x' ELSE body END AS body FROM c WHERE o_orderkey % 41 <> 0),
+v AS (SELECT t.ledger, t.seq, CASE WHEN t.seq > 1 AND p.seq IS NULL THEN 'missing_line' WHEN t.hash <> sha256(t.previous_hash || '|' || t.body) THEN 'hash_mismatch' END AS code FROM t LEFT JOIN t p ON p.ledger = t.ledger AND p.seq = t.seq - 1)
+SELECT ledger, count(*) AS n_lines, min(seq) FILTER (WHERE code IS NOT NULL) AS first_bad_line, arg_min(code, seq) FILTER (WHERE code IS NOT NULL) AS code FROM v GROUP BY 1""",
+)
+def _(spark, sf):
+    """A chain of hashes over each customer's orders, some of them changed or taken out afterwards."""
+    bodies = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("ledger")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    line = lambda previous, key, n: F.struct(n.alias("seq"), key.alias("key"), previous.alias("previous_hash"), Q.ledger_hash(previous, key.cast("string")).alias("hash"))
+    none = F.array().cast("array<struct<seq: bigint, key: bigint, previous_hash: string, hash: string>>")
+    last = lambda lines: F.coalesce(F.get(lines, F.size(lines) - 1)["hash"], F.lit(Q.GENESIS))
+    lines = bodies.select("ledger", F.explode(F.aggregate("keys", none, lambda held, k: F.concat(held, F.array(line(last(held), k, (F.size(held) + 1).cast("bigint")))))).alias("l"))
+    body = F.concat(F.col("l.key").cast("string"), F.when(F.col("l.key") % 37 == 0, "x").otherwise(""))
+    kept = lines.where("l.key % 41 <> 0").select("ledger", "l.seq", F.concat_ws("-", "ledger", F.col("l.key").cast("string")).alias("event_id"), "l.previous_hash", "l.hash", body.alias("body"))
+    return Q.ledger_verify(kept, "ledger", "seq")
