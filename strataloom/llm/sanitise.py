@@ -57,7 +57,7 @@ def _before(numbers: Column, fold) -> Column:
     return F.when(F.size(numbers) == 0, F.array().cast("array<int>")).otherwise(_let(blocks, x=numbers))
 
 
-def _found(text: Column, pattern: str) -> Column:
+def _found(text: Column, pattern: str | Column) -> Column:
     """(start, value) of every match, leftmost first, none over another."""
 
     def placed(h):
@@ -65,7 +65,8 @@ def _found(text: Column, pattern: str) -> Column:
         start = lambda b: F.transform(h["values"], lambda v, i: F.struct((F.get(b["before"], i) + F.get(h["gaps"], i)).alias("start"), v.alias("value")))
         return _let(start, before=_before(steps, _total))
 
-    return _let(placed, values=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps=F.transform(F.split(text, pattern, -1), F.length))
+    by = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return _let(placed, values=F.regexp_extract_all(text, by, F.lit(0)), gaps=F.transform(F.split(text, by, -1), F.length))
 
 
 def _between(text: Column, pattern: str) -> Column:
@@ -183,20 +184,41 @@ def _flagged(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.withColumn("__bucket", bucket(key)).join(F.broadcast(buckets), "__bucket", "left_semi").drop("__bucket")
 
 
-def _places(text: Column) -> Column:
-    """Every word of a text: its term and where it stands."""
-    return F.transform(_found(text, LETTERS), lambda w: F.struct(F.lower(w["value"]).alias("term"), w["start"].alias("start"), (w["start"] + F.length(w["value"])).alias("end")))
+def _bits(terms: DataFrame) -> DataFrame:
+    """One row (bits): BUCKETS bits, those set into which a term falls. It has BUCKETS / 8 bytes, however many terms there are."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
+    held = terms.select((bucket / 8).cast("long").alias("id"), F.expr(f"shiftleft(1, cast(pmod(pmod(xxhash64(term), {BUCKETS}), 8) as int))").alias("bit"))
+    byte = held.groupBy("id").agg(F.bit_or("bit").alias("byte"))
+    each = terms.sparkSession.range(BUCKETS // 8).join(byte, "id", "left").select("id", F.lpad(F.hex(F.coalesce("byte", F.lit(0)).cast("long")), 2, "0").alias("hex"))
+    return each.agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "hex"))), lambda x: x["hex"]), "")).alias("bits"))
+
+
+def _candidates(text: Column, bits: Column) -> Column:
+    """Distinct words of a text, as written, whose term falls into a set bit."""
+
+    def kept(h):
+        def set_(word):
+            bucket = F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS))
+            byte = F.conv(F.hex(F.substring(h["bits"], (bucket / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            return F.call_function("shiftright", byte, (bucket % 8).cast("int")) % 2 == 1
+
+        return F.filter(h["words"], set_)
+
+    return _let(kept, words=F.array_distinct(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0))), bits=bits)
 
 
 def _standing(known: DataFrame, revealing: DataFrame) -> DataFrame:
     """content, terms, gone: where the revealing terms stand in each text, whether it holds their entity or not; `gone` where the ratio is highest.
 
-    Words that can't be among the terms are dropped before the shuffle; the rest meet the terms by (term, salt), the salt of a row, as one
-    term may be frequent and one text may have many copies. Texts themselves are not shuffled.
+    A bit map of the terms, broadcast, tells the few words of a text that may be one; only those are looked for by place, and only they are
+    shuffled, by (term, salt), the salt of a row, as one term may be frequent and one text may have many copies. Texts are not shuffled.
     """
     terms = cut_lineage(revealing.groupBy("term").agg(F.max("ratio").alias("ratio")))
-    rows = known.select("content", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("__salt"), F.explode(_places(F.col("text"))).alias("w"))
-    words = _flagged(rows.select("content", "__salt", "w.*"), "term", terms)
+    rows = known.join(F.broadcast(_bits(terms)))  # one row
+    rows = rows.select("content", "text", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("__salt"), _candidates(F.col("text"), F.col("bits")).alias("words")).where(F.size("words") > 0)
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
+    found = rows.select("content", "__salt", F.explode(_found(F.col("text"), pattern)).alias("w"))
+    words = found.select("content", "__salt", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.value")).alias("end"))
     hits = words.join(_salted(terms), ["term", "__salt"]).groupBy("content", "start", "end").agg(F.max("ratio").alias("ratio"))
     span = F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end", F.lit("term").alias("kind"))
     return hits.groupBy("content").agg(F.array_sort(F.collect_list(span)).alias("terms"), F.collect_set(F.when(F.col("ratio") >= 1 - 1e-9, F.col("start"))).alias("gone"))
