@@ -184,13 +184,14 @@ def _flagged(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.withColumn("__bucket", bucket(key)).join(F.broadcast(buckets), "__bucket", "left_semi").drop("__bucket")
 
 
-def _bits(terms: DataFrame) -> DataFrame:
-    """One row (bits): BUCKETS bits, those set into which a term falls. It has BUCKETS / 8 bytes, however many terms there are."""
+def _bits(terms: DataFrame) -> Column:
+    """BUCKETS bits, those set into which a term falls: a literal of BUCKETS / 8 bytes, however many terms there are."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
     held = terms.select((bucket / 8).cast("long").alias("id"), F.expr(f"shiftleft(1, cast(pmod(pmod(xxhash64(term), {BUCKETS}), 8) as int))").alias("bit"))
     byte = held.groupBy("id").agg(F.bit_or("bit").alias("byte"))
     each = terms.sparkSession.range(BUCKETS // 8).join(byte, "id", "left").select("id", F.lpad(F.hex(F.coalesce("byte", F.lit(0)).cast("long")), 2, "0").alias("hex"))
-    return each.agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "hex"))), lambda x: x["hex"]), "")).alias("bits"))
+    row = each.agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "hex"))), lambda x: x["hex"]), "")).alias("bits")).first()
+    return F.lit(bytes(row["bits"]))
 
 
 def _candidates(text: Column, bits: Column) -> Column:
@@ -199,23 +200,22 @@ def _candidates(text: Column, bits: Column) -> Column:
     def kept(h):
         def set_(word):
             bucket = F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS))
-            byte = F.conv(F.hex(F.substring(h["bits"], (bucket / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            byte = F.conv(F.hex(F.substring(bits, F.floor(bucket / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
             return F.call_function("shiftright", byte, (bucket % 8).cast("int")) % 2 == 1
 
         return F.filter(h["words"], set_)
 
-    return _let(kept, words=F.array_distinct(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0))), bits=bits)
+    return _let(kept, words=F.array_distinct(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0))))
 
 
 def _standing(known: DataFrame, revealing: DataFrame) -> DataFrame:
     """content, terms, gone: where the revealing terms stand in each text, whether it holds their entity or not; `gone` where the ratio is highest.
 
-    A bit map of the terms, broadcast, tells the few words of a text that may be one; only those are looked for by place, and only they are
+    A bit map of the terms, a literal of bounded size, tells the few words of a text that may be one; only those are looked for by place, and only they are
     shuffled, by (term, salt), the salt of a row, as one term may be frequent and one text may have many copies. Texts are not shuffled.
     """
     terms = cut_lineage(revealing.groupBy("term").agg(F.max("ratio").alias("ratio")))
-    rows = known.join(F.broadcast(_bits(terms)))  # one row
-    rows = rows.select("content", "text", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("__salt"), _candidates(F.col("text"), F.col("bits")).alias("words")).where(F.size("words") > 0)
+    rows = known.select("content", "text", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("__salt"), _candidates(F.col("text"), _bits(terms)).alias("words")).where(F.size("words") > 0)
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
     found = rows.select("content", "__salt", F.explode(_found(F.col("text"), pattern)).alias("w"))
     words = found.select("content", "__salt", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.value")).alias("end"))
