@@ -7,6 +7,7 @@ from strataloom.functions import ratios as R
 from strataloom.operators import panel as B
 from strataloom.operators import ranking as K
 from strataloom.operators import score as S
+from strataloom.operators import sensitivity as X
 from strataloom.plans import panels as P
 from strataloom.plans.registry import query, rounded, table
 
@@ -604,3 +605,16 @@ SELECT entity, period, feature, round(p, 6) AS percentile, missing, CASE WHEN p
 def _(spark, sf):
     b = S.pct_below(P.supplier_month(spark, sf), KEYS, ["period"], P.FEATURES)
     return rounded(S.entity_signals(b, "entity", "period", P.FEATURES))
+
+
+MASK_CATEGORIES = {"price": ["discount"], "volume": ["quantity", "returned"], "sales": ["revenue"]}
+
+
+@query("mask_scenarios")
+def _(spark, sf):
+    return rounded(X.mask_scenarios(P.supplier_year(spark, sf), WEIGHTS, MASK_CATEGORIES))
+
+
+@query("mask_scenario_summary")
+def _(spark, sf):
+    return rounded(X.grouped_scenarios(X.mask_scenarios(P.supplier_year(spark, sf), WEIGHTS, MASK_CATEGORIES), ["family", "mask_name"]))
