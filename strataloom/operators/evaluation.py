@@ -152,3 +152,35 @@ def feature_correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     both = lambda a, b: F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull())
     row = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), both(a, b).alias("shared"), guarded_corr(a, b).alias("correlation")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
+
+
+BOARD = ["n", "mae", "rmse", "spearman", "precision_at_k", "top_mean", "median_true", "directional_acc"]
+
+
+def rebuild_leaderboard(pred: DataFrame, stored: DataFrame, k: int = 5, by: Sequence[str] = ("model", "period"), tolerance: float = 1e-6) -> DataFrame:
+    """(by, metric, stored, rebuilt, status) of every metric of a stored board and of the rows it came from.
+
+    status: `match` within the tolerance (relative above 1) or both null, `mismatch`, `missing_stored`, `missing_rows`.
+    """
+    by = list(by)
+
+    def long(df: DataFrame, out: str) -> DataFrame:
+        pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(out)) for c in BOARD if c in df.columns]
+        return df.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.*", F.lit(True).alias(f"__{out}"))
+
+    both = long(stored, "stored").join(long(split_metrics(pred, k, by), "rebuilt"), [*by, "metric"], "full")
+    near = F.abs(F.col("stored") - F.col("rebuilt")) <= tolerance * F.greatest(F.lit(1.0), F.abs("stored"))
+    same = F.col("stored").eqNullSafe(F.col("rebuilt")) | F.coalesce(near, F.lit(False))
+    status = F.when(F.col("__stored").isNull(), "missing_stored").when(F.col("__rebuilt").isNull(), "missing_rows").when(same, "match").otherwise("mismatch")
+    return both.select(*by, "metric", "stored", "rebuilt", status.alias("status"))
+
+
+def multi_target(boards: dict[str, DataFrame], value: str = "spearman") -> DataFrame:
+    """(model, target, splits, mean, best_model) over boards (model, ..., value) of several targets: each model's mean and whether it leads its target."""
+    whole = None
+    for name, board in boards.items():
+        part = board.select(F.lit(name).alias("target"), "model", F.col(value).alias("v"))
+        whole = part if whole is None else whole.unionByName(part)
+    each = whole.groupBy("target", "model").agg(F.count("v").alias("splits"), F.avg("v").alias("mean"))
+    best = each.where("mean IS NOT NULL").groupBy("target").agg(F.min_by("model", F.struct((-F.col("mean")).alias("d"), "model")).alias("__best"))
+    return each.join(best, "target", "left").withColumn("best_model", F.coalesce(F.col("model") == F.col("__best"), F.lit(False))).drop("__best")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from strataloom.operators import evaluation as E
 from strataloom.operators import importance as I
 from strataloom.operators import models as M
+from strataloom.operators.panel import next_period_target
 from strataloom.plans import panels as P
 from strataloom.plans.registry import query, rounded
 
@@ -109,3 +110,31 @@ def _(spark, sf):
 @query("feature_importance")
 def _(spark, sf):
     return rounded(I.importances(_panel(spark, sf), P.FEATURES, ["entity", "period"], "target"))
+
+
+def _target_board(spark, sf, column):
+    """Metrics of the linear models and baselines for next year's value of one column."""
+    df = P.yearly_ranked(spark, sf).drop("target", "target_period")
+    df = next_period_target(df, "entity", "period", column).where(F.col("target").isNotNull())
+    tests = M.last_tests(df)
+    pred = M.predict_linear(df, PCT, M.linear_folds(df, PCT, tests)).unionByName(P.baseline_predictions(df.where(F.col("period").isin(tests))))
+    return E.split_metrics(pred)
+
+
+@query("multi_target_eval")
+def _(spark, sf):
+    return rounded(E.multi_target({c: _target_board(spark, sf, c) for c in ("revenue", "quantity", "discount")}))
+
+
+@query(
+    "leaderboard_rebuild",
+    f"""WITH {P.YEARLY_PREDICTIONS}, u AS (SELECT * FROM preds WHERE y_true IS NOT NULL AND y_pred IS NOT NULL), b AS (SELECT model, period, count(*) AS n, avg(abs(y_true - y_pred)) AS mae FROM u GROUP BY 1, 2 HAVING count(*) >= 3),
+s AS (SELECT model, period, n::DOUBLE AS n, CASE WHEN model = 'momentum' THEN mae + 1 ELSE mae END AS mae FROM b WHERE period <> 1994),
+l AS (SELECT coalesce(b.model, s.model) AS model, coalesce(b.period, s.period) AS period, m.metric, CASE m.metric WHEN 'n' THEN s.n ELSE s.mae END AS stored, CASE m.metric WHEN 'n' THEN b.n ELSE b.mae END AS rebuilt, s.model IS NULL AS gone FROM b LEFT JOIN s ON s.model = b.model AND s.period = b.period, (VALUES ('n'), ('mae')) m(metric))
+SELECT model, period, metric, round(stored, 6) AS stored, round(rebuilt, 6) AS rebuilt, CASE WHEN gone THEN 'missing_stored' WHEN abs(stored - rebuilt) <= 1e-6 * greatest(1, abs(stored)) THEN 'match' ELSE 'mismatch' END AS status FROM l""",
+)
+def _(spark, sf):
+    """A stored board with one model's errors changed and one year left out, against the rows it came from."""
+    pred = P.yearly_predictions(spark, sf)
+    stored = E.split_metrics(pred).where("period <> 1994").select("model", "period", "n", (F.col("mae") + F.when(F.col("model") == "momentum", 1).otherwise(0)).alias("mae"))
+    return rounded(E.rebuild_leaderboard(pred, stored).where(F.col("metric").isin("n", "mae")))

@@ -1,5 +1,7 @@
 import math
 
+from pyspark.sql import functions as F
+
 from strataloom.operators import evaluation as E
 from strataloom.operators import resampling as G
 
@@ -72,3 +74,17 @@ def test_draws_do_not_depend_on_partitions(spark):
         assert first != sorted(map(tuple, draw(rows, 30, 8).collect()), key=str)
     values = [r.ic for r in G.permutation_null(rows, 400, 1).collect()]
     assert abs(sum(values) / len(values)) < 0.06
+
+
+def test_rebuilt_board_and_several_targets(spark):
+    rows = [(f"e{i}", p, m, float(i), float(i * i % 7)) for m in ("a", "b") for p in (1, 2) for i in range(8)]
+    pred = spark.createDataFrame(rows, "entity string, period int, model string, y_true double, y_pred double")
+    board = E.split_metrics(pred)
+    stored = board.where("NOT (model = 'b' AND period = 2)").withColumn("rmse", F.when(F.col("model") == "a", F.col("rmse") + 1e-12).otherwise(F.col("rmse") * 2))
+    stored = stored.unionByName(stored.limit(1).withColumn("model", F.lit("gone")))
+    out = {(r.model, r.period, r.metric): r.status for r in E.rebuild_leaderboard(pred, stored).collect()}
+    assert out["a", 1, "rmse"] == "match" and out["b", 1, "rmse"] == "mismatch" and out["b", 1, "mae"] == "match"
+    assert out["b", 2, "spearman"] == "missing_stored" and {s for (m, _, _), s in out.items() if m == "gone"} == {"missing_rows"}
+    boards = {"x": spark.createDataFrame([("a", 0.1), ("a", 0.3), ("b", 0.1)], "model string, spearman double"), "y": spark.createDataFrame([("a", None), ("b", -0.5)], "model string, spearman double")}
+    found = {(r.target, r.model): (r.splits, r.mean, r.best_model) for r in E.multi_target(boards).collect()}
+    assert found == {("x", "a"): (2, 0.2, True), ("x", "b"): (1, 0.1, False), ("y", "a"): (0, None, False), ("y", "b"): (1, -0.5, True)}
