@@ -232,3 +232,26 @@ def test_rank_stability(spark, monkeypatch, limit):
             else:
                 assert r.status == "insufficient_data_never_drawn" and r.rank_median is None
     assert not out
+
+
+@pytest.mark.parametrize("n", [3_000, 60_000, 360_000])
+def test_large_groups_are_dealt_in_few_copies(spark, n):
+    """The rows of a group were copied for every 32 draws, 313 times here, however large it was."""
+    groups = spark.createDataFrame([(k, n) for k in range(12)], "key long, n long")
+    copies, tasks, larger = D.unit_plan(groups, 10_000)
+    units = D.unit_rows(groups, 10_000, copies, tasks).collect()
+    assert copies == D.COPIES and not larger and len(units) <= 12 * copies
+    assert sum(u["last"] - u["first"] for u in units) == 12 * 10_000
+    lone = D.unit_plan(groups.limit(1), 10_000)
+    assert D.unit_rows(groups.limit(1), 10_000, *lone[:2]).count() <= D.UNITS
+
+
+@pytest.mark.parametrize("n", [4_096, 20_000])
+def test_whole_permutations_and_counts_are_those_of_single_slots(n):
+    keys = D.draw_keys(9, np.arange(2))
+    whole = D.permuted(keys, np.arange(n), n)
+    part = np.arange(0, n, 7)
+    assert (whole[:, part] == D.permuted(keys, part, n)).all() and (np.sort(whole, axis=1) == np.arange(n)).all()
+    counts = D.counts_of_picks(keys, n)
+    at = D.picked(keys, np.arange(n), n)
+    assert all((np.bincount(a, minlength=n) == c).all() for a, c in zip(at, counts))
