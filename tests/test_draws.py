@@ -255,3 +255,12 @@ def test_whole_permutations_and_counts_are_those_of_single_slots(n):
     counts = D.counts_of_picks(keys, n)
     at = D.picked(keys, np.arange(n), n)
     assert all((np.bincount(a, minlength=n) == c).all() for a, c in zip(at, counts))
+
+
+def test_models_that_draw_alike_are_drawn_once(spark, monkeypatch):
+    """Their ranks were drawn and shuffled once for each model."""
+    units, whole = [], D.unit_rows
+    monkeypatch.setattr(D, "unit_rows", lambda g, *a: units.append(g.count()) or whole(g, *a))
+    rows = panel(4, models=("a", "b", "c"), ragged=False)
+    out = G.rank_stability(frame(spark, rows), 20, 3)
+    assert units == [3] and out.count() == len(rows)
