@@ -4,6 +4,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataloom.operators import score as S
 from strataloom.operators import sensitivity as X
@@ -75,3 +76,15 @@ def test_small_groups_and_unknown_features(spark):
         X.mask_scenarios(frame(spark, panel()), WEIGHTS, {"odd": ["z"]})
     grouped = {r.family: r.scenarios for r in X.grouped_scenarios(X.mask_scenarios(frame(spark, panel()), WEIGHTS, CATEGORIES)).collect()}
     assert grouped == {"A": 4, "B": 36, "C": 6, "D": 54}
+
+
+def test_a_large_period_goes_to_a_bounded_number_of_tasks_and_sorts_by_digits(spark, monkeypatch):
+    rows = frame(spark, panel(7, 40, 1))
+    whole = {tuple(r) for r in X.mask_scenarios(rows, WEIGHTS, CATEGORIES).collect()}
+    monkeypatch.setattr(X, "UNIT_SCENARIOS", 4)
+    monkeypatch.setattr(X, "UNITS", 2)
+    cut = X.mask_scenarios(rows, WEIGHTS, CATEGORIES)
+    assert {tuple(r) for r in cut.collect()} == whole
+    assert cut.select(F.spark_partition_id().alias("p"), "masked_entity").where("masked_entity = 'e0'").count() == 5
+    values = np.array([[1.0, 2.0, np.nan], [2.0, 2.0, 1.0], [3.0, np.nan, 1.0], [2.0, 5.0, 4.0]])
+    assert X.Scored(values, [1.0, 0.6, 0.5], 1.0).without((0,), 1).dtype == np.int16
