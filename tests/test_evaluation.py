@@ -88,3 +88,24 @@ def test_rebuilt_board_and_several_targets(spark):
     boards = {"x": spark.createDataFrame([("a", 0.1), ("a", 0.3), ("b", 0.1)], "model string, spearman double"), "y": spark.createDataFrame([("a", None), ("b", -0.5)], "model string, spearman double")}
     found = {(r.target, r.model): (r.splits, r.mean, r.best_model) for r in E.multi_target(boards).collect()}
     assert found == {("x", "a"): (2, 0.2, True), ("x", "b"): (1, 0.1, False), ("y", "a"): (0, None, False), ("y", "b"): (1, -0.5, True)}
+
+
+def test_split_metrics_ranks_once_and_follows_plain_sorting(spark, monkeypatch):
+    from statistics import median
+
+    from strataloom.operators import ranking as R
+
+    written, cut = [], R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: written.append(1) or cut(df))
+    rows = [(f"e{i:02}", p, "m", float(i * 7 % (5 + p)), float(i * 5 % 4)) for p, n in ((1, 20), (2, 21), (3, 3)) for i in range(n)]
+    rows += [("e0", 4, "m", 1.0, 2.0), ("e1", 1, None, 1.0, 2.0), ("gone", 1, "m", None, 9.0)]
+    out = {r.period: r for r in E.split_metrics(spark.createDataFrame(rows, "entity string, period int, model string, y_true double, y_pred double")).collect()}
+    assert len(written) <= 2 and set(out) == {1, 2, 3}
+    for p, r in out.items():
+        own = [(e, t, y) for e, q, m, t, y in rows if q == p and m and t is not None]
+        top = {e for e, _, _ in sorted(own, key=lambda x: (-x[2], x[0]))[:5]}
+        best = {e for e, _, _ in sorted(own, key=lambda x: (-x[1], x[0]))[:5]}
+        mt, mp = median(t for _, t, _ in own), median(y for _, _, y in own)
+        assert r.n == len(own) and r.median_true == mt and abs(r.precision_at_k - len(top & best) / 5) < 1e-12
+        assert abs(r.top_mean - sum(t for e, t, _ in own if e in top) / len(top)) < 1e-9
+        assert abs(r.directional_acc - sum((y > mp) == (t > mt) for _, t, y in own) / len(own)) < 1e-12
