@@ -250,33 +250,51 @@ def ledger_verify(df: DataFrame, ledger: str, seq: str, time: str | None = None)
     """Per ledger: lines, and the first failing line with its code.
 
     Lines: event_id, previous_hash, body, hash and, if named, a time that never goes back. Line numbers run from 1
-    without gaps. Only the first line may point to the genesis; a null in any field fails. A line's predecessor
-    is found by an equi-join on the line number, so one long ledger is spread over all tasks.
+    without gaps. Only the first line may point to the genesis; a null in any field fails. A line and what its
+    predecessor tells of itself meet by the line number in one shuffle, so one long ledger is spread over all tasks; bodies are
+    hashed before it and stay behind. Of an event's lines only the first two can decide.
     """
-    extra = [F.col(time).alias("__pt")] if time else []
-    prev = df.select(ledger, (F.col(seq) + 1).alias(seq), F.col("hash").alias("__ph"), F.lit(True).alias("__has"), *extra)
-    prev = prev.dropDuplicates([ledger, seq])
-    dup = df.groupBy(ledger, "event_id").agg(F.min(seq).alias("__first"))
-    twice = df.groupBy(ledger, seq).agg(F.count(F.lit(1)).alias("__lines"))
-    j = df.join(prev, [ledger, seq], "left").join(dup, [ledger, "event_id"], "left").join(twice, [ledger, seq], "left")
-    first = F.col(seq) == 1
-    code = (
-        F.when(F.col("event_id").isNull(), "missing_event_id")
-        .when(F.col("previous_hash").isNull() | F.col("body").isNull() | F.col("hash").isNull() | F.col(seq).isNull(), "missing_field")
-        .when((F.col("__lines") > 1) | (F.col(seq) < 1), "bad_line_number")
-        .when(F.col(seq) != F.col("__first"), "duplicate_event_id")
-        .when(~first & F.col("__has").isNull(), "missing_line")
+    at, known = F.col(seq), F.col(ledger).isNotNull()
+    early = F.when(F.col("event_id").isNull(), "missing_event_id").when(F.col("previous_hash").isNull() | F.col("body").isNull() | F.col("hash").isNull() | at.isNull(), "missing_field")
+    wrong = F.col("hash") != ledger_hash(F.col("previous_hash"), F.col("body"))
+    when = F.col(time) if time else F.lit(None).cast("boolean")
+    parts = lambda own, place, link, early, wrong: F.struct(F.lit(own).alias("own"), place.alias("at"), link.alias("link"), early.alias("early"), wrong.alias("wrong"), when.alias("time"))
+    own = parts(True, at, F.col("previous_hash"), early, wrong)
+    told = parts(False, at + 1, F.col("hash"), F.lit(None).cast("string"), F.lit(None).cast("boolean"))
+    # lines without a ledger follow nothing and stay apart
+    apart = F.when(~known, F.monotonically_increasing_id()).alias("__apart")
+    met = df.select(ledger, apart, F.explode(F.array(own, told)).alias("l")).where(F.col("l.own") | (known & F.col("l.at").isNotNull()))
+    mine = lambda c: F.when(F.col("l.own"), F.col(f"l.{c}"))
+    prior = lambda c: F.when(~F.col("l.own"), F.col(f"l.{c}"))
+    lines = met.groupBy(ledger, "__apart", F.col("l.at").alias("__at")).agg(
+        F.count_if("l.own").alias("__lines"),
+        F.count(mine("early")).alias("__n_early"),
+        F.min(mine("early")).alias("__early"),
+        F.max(mine("link")).alias("previous_hash"),
+        F.max(mine("wrong")).alias("__wrong"),
+        F.max(~F.col("l.own")).alias("__has"),
+        F.max(prior("link")).alias("__ph"),
+        *([F.max(mine("time")).alias("__time"), F.max(prior("time")).alias("__pt")] if time else []),
+    ).where("__lines > 0")
+    first = F.col("__at") == 1
+    whole = F.when(F.col("__n_early") == F.col("__lines"), F.col("__early")).when((F.col("__lines") > 1) | (F.col("__at") < 1), "bad_line_number")
+    late = (
+        F.when(~first & ~F.col("__has"), "missing_line")
         .when(F.when(first, F.col("previous_hash") != GENESIS).otherwise(~F.col("previous_hash").eqNullSafe(F.col("__ph"))), "broken_link")
-        .when(F.col("hash") != ledger_hash(F.col("previous_hash"), F.col("body")), "hash_mismatch")
+        .when(F.col("__wrong"), "hash_mismatch")
     )
     if time:
-        code = code.when(F.col(time).isNull() | F.coalesce(F.col(time) < F.col("__pt"), F.lit(False)), "time_goes_back")
-    j = j.withColumn("__code", code).withColumn("__line", F.coalesce(F.col(seq), F.lit(0)))
-    bad = F.col("__code").isNotNull()
-    return j.groupBy(ledger).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.min(F.when(bad, F.col("__line"))).alias("first_bad_line"),
-        F.min_by("__code", F.when(bad, F.struct("__line", "__code"))).alias("code"),
+        late = late.when(F.col("__time").isNull() | F.coalesce(F.col("__time") < F.col("__pt"), F.lit(False)), "time_goes_back")
+    # on one line the codes of its form come first, then a repeated event, then the others
+    fault = lambda line, order, code: F.when(code.isNotNull(), F.struct(line.alias("line"), order.alias("order"), code.alias("code")))
+    line = F.coalesce("__at", F.lit(0))
+    out = lines.select(ledger, "__lines", fault(line, F.when(whole.isNotNull(), 0).otherwise(2), F.coalesce(whole, late)).alias("__fault"))
+    events = df.where(known & F.col("event_id").isNotNull() & at.isNotNull()).select(ledger, "event_id", at.alias("__at"))
+    spot = F.row_number().over(W.partitionBy(ledger, "event_id").orderBy("__at"))
+    twice = events.withColumn("__spot", spot).where("__spot <= 2").groupBy(ledger, "event_id").agg(F.min("__at").alias("__first"), F.max("__at").alias("__at")).where("__at > __first")
+    twice = twice.select(ledger, F.lit(0).cast("bigint").alias("__lines"), fault(line, F.lit(1), F.lit("duplicate_event_id")).alias("__fault"))
+    return out.unionByName(twice).groupBy(ledger).agg(F.sum("__lines").alias("n_lines"), F.min("__fault").alias("__fault")).select(
+        ledger, "n_lines", F.col("__fault.line").alias("first_bad_line"), F.col("__fault.code").alias("code")
     )
 
 

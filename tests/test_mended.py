@@ -112,3 +112,51 @@ def test_plans_read_their_input_a_bounded_number_of_times(spark, tmp_path):
         chain = asof_join(chain, right.withColumnsRenamed({"at": f"at{i}", "x": f"x{i}"}), ["k"], "t", f"at{i}", [f"x{i}"])
     assert leaves(chain) == 13
     assert [r.x11 for r in chain.collect()] == [5.0]
+
+
+def test_ledger_without_joins_against_a_walk_line_by_line(spark):
+    import random
+
+    r, rows = random.Random(6), []
+    digest = lambda previous, body: hashlib.sha256(f"{previous}|{body}".encode()).hexdigest()
+    for ledger in range(60):
+        previous = Q.GENESIS
+        for n in range(1, 8):
+            h = digest(previous, f"b{n}")
+            rows.append([f"l{ledger}", n, f"e{n}", previous, f"b{n}", h])
+            previous = h
+        for _ in range(r.randrange(3)):
+            at, what = r.randrange(len(rows) - 7, len(rows)), r.randrange(7)
+            if what < 5:
+                rows[at][(1, 2, 3, 4, 5)[what]] = r.choice([None, {0: 4, 1: "e2", 2: Q.GENESIS, 3: "x", 4: "0"}[what]])
+            elif what == 5:
+                rows.append([*rows[at][:2], "extra", *rows[at][3:]])
+            else:
+                rows[at][1] = 0
+
+    def walk(own):
+        held, seen, bad = {}, {}, []
+        for row in own:
+            held.setdefault(row[1], []).append(row)
+            if None not in row[1:3]:
+                seen[row[2]] = min(seen.get(row[2], row[1]), row[1])
+        for _, n, event, previous, body, h in own:
+            before = held.get(n - 1) if n is not None else None
+            code = (
+                "missing_event_id" if event is None
+                else "missing_field" if None in (n, previous, body, h)
+                else "bad_line_number" if len(held[n]) > 1 or n < 1
+                else "duplicate_event_id" if n != seen[event]
+                else "missing_line" if n != 1 and before is None
+                else "broken_link" if (previous != Q.GENESIS if n == 1 else previous not in [b[5] for b in before])
+                else "hash_mismatch" if h != digest(previous, body)
+                else None
+            )
+            if code:
+                bad.append((n or 0, code))
+        return (len(own), *(min(bad) if bad else (None, None)))
+
+    out = Q.ledger_verify(spark.createDataFrame([tuple(x) for x in rows], "ledger string, seq long, event_id string, previous_hash string, body string, hash string"), "ledger", "seq")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    told = {x.ledger: (x.n_lines, x.first_bad_line, x.code) for x in out.collect()}
+    assert told == {name: walk([x for x in rows if x[0] == name]) for name in {x[0] for x in rows}}
