@@ -109,3 +109,18 @@ def test_split_metrics_ranks_once_and_follows_plain_sorting(spark, monkeypatch):
         assert r.n == len(own) and r.median_true == mt and abs(r.precision_at_k - len(top & best) / 5) < 1e-12
         assert abs(r.top_mean - sum(t for e, t, _ in own if e in top) / len(top)) < 1e-9
         assert abs(r.directional_acc - sum((y > mp) == (t > mt) for _, t, y in own) / len(own)) < 1e-12
+
+
+def test_scores_are_written_once_before_they_are_ranked(spark):
+    """Ranking samples its input before it reads it: neither reading works the panel out again."""
+    from strataloom.plans import panels as P
+
+    plan = P.predictions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FileScan" not in plan and "Scan ExistingRDD" in plan
+
+
+def test_spread_of_ranks_takes_one_percentile(spark):
+    ranks = spark.createDataFrame([("A", 1, m, r) for m, r in zip("xyz", (1.0, 2.5, 7.0))] + [("B", 1, "x", 2.0)], "entity string, period int, model string, rank double")
+    out = E.entity_rank_spread(ranks, 3)
+    assert {r.entity: (r.ranked_models, r.rank_spread, r.rank_iqr) for r in out.collect()} == {"A": (3, 6.0, 3.0), "B": (1, None, None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("percentile(") == 1
