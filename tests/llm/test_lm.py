@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.llm.lm import Dishes, Tokens, _rooms, _seat, _sent, lm_scores, tally
+from strataloom.llm.lm import Dishes, Tokens, _rooms, _seat, _sent, _told_rooms, held_by_home, lm_scores, tally, whole_rooms
 from strataloom.llm.seating import Seating, unseen_mass
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -161,3 +161,63 @@ def test_a_frequent_pair_leaves_its_first_table(monkeypatch):
     assert dishes.customers[at] == 4000 and held[0].customers[at] == 4000
     assert (held[1].customers == np.bincount(dishes.up[0], held[0].tables)).all() and (held[2].customers == np.bincount(dishes.up[1], held[1].tables)).all()
     assert held[0].tables[at] > 7
+
+
+def seated(train, probes, buckets, sweeps=3):
+    """log10 probability of each token of the probes, all buckets' restaurants met by way of their homes."""
+    texts = train + probes
+    tokens_ = Tokens(pa.array(texts), buckets)
+    sent = _sent(0, tokens_, np.arange(len(texts)) < len(train))
+    parts = {b: sent.filter(pa.array(sent["bucket"].to_numpy() == b)) for b in sent["bucket"].to_pylist()}
+    held = pa.concat_tables(held_by_home(b, part, buckets) for b, part in parts.items())
+    whole = pa.concat_tables(whole_rooms(h, held.filter(pa.array(held["home"].to_numpy() == h))) for h in set(held["home"].to_pylist()))
+    scores, rooms = [], {}
+    for b, part in parts.items():
+        dishes = Dishes(part)
+        rooms[b], n_train, n_words = _told_rooms(dishes, whole.filter(pa.array(whole["bucket"].to_numpy() == b)), buckets)
+        scores.append(np.log10(_seat(dishes, rooms[b], n_words, sweeps, 1, 2.0, b))[dishes.pair])
+    return np.concatenate(scores)[tokens_.pair], tokens_, rooms, n_train, n_words
+
+
+def test_contexts_are_whole_words():
+    """Words that end alike are told apart as contexts, in any script."""
+    train = ["xxnight moon", "yynight sword"] * 200 + ["ночь луна", "речь слово"] * 200
+    scores, tokens_, *_ = seated(train, ["xxnight moon", "xxnight sword", "ночь луна", "речь луна"], 1)
+    second = [scores[tokens_.text == len(train) + i][1] for i in range(4)]
+    assert second[0] > second[1] + 1 and second[2] > second[3] + 1
+
+
+def test_restaurants_count_all_buckets():
+    """Customers and tables of a restaurant are those of the whole corpus in every bucket that holds some of it, whichever its dishes."""
+    train = [t for _, t in corpus(120) if t]
+    followed, pairs, near = Counter(), set(), set()
+    for t in train:
+        words = tokens(t)
+        for before, word in zip([b"", *words], words):
+            followed[before] += 1
+            pairs.add((before, word))
+            near.add((before[-1:], word))
+    tables, above = Counter(before for before, _ in pairs), Counter(last for last, _ in near)
+    name = {}
+    for w in followed:
+        held = Tokens(pa.array([f"{w.decode()} x" if w else "x"]), 1)
+        name[int(held.rooms[held.word[0]]) if w else 0] = w
+    for buckets in (1, 7):
+        _, _, rooms, n_train, n_words = seated(train, [], buckets, 2)
+        assert n_train == sum(followed.values()) and n_words == len({w for _, w in pairs})
+        for b in rooms:
+            words = [name[int(i)] for i in rooms[b][0]["ids"]]
+            assert rooms[b][0]["customers"].tolist() == [followed[w] for w in words] and rooms[b][0]["tables"].tolist() == [tables[w] for w in words]
+            assert rooms[b][1]["tables"][ord("e")] == above[b"e"] and rooms[b][1]["customers"].sum() == len(pairs)
+
+
+def test_texts_that_occur_twice_are_scored_apart(spark):
+    """A learnt text whose like occurs elsewhere in the corpus is likelier than others, whichever chunks the two are in."""
+    r = random.Random(3)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "nu") for b in ("re", "sa", "to") for c in ("n", "r", "st", "th", "e")]
+    texts = [" ".join(r.choice(words) for _ in range(60)) for _ in range(240)]
+    docs = spark.createDataFrame([*enumerate(texts), *((1000 + i, texts[i]) for i in range(40))], "doc_id long, text string")
+    score = {x.doc_id: x.score / x.n_tokens for x in lm_scores(docs, F.col("doc_id") % 7 != 2, chunks=4).collect()}
+    learnt = [i for i in range(240) if i % 7 != 2]
+    twice, once = ([score[i] for i in learnt if (i < 40) == both] for both in (True, False))
+    assert sum(x > max(sorted(once)[: -len(once) // 10]) for x in twice) > 0.8 * len(twice)
