@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -264,3 +265,40 @@ def test_models_that_draw_alike_are_drawn_once(spark, monkeypatch):
     rows = panel(4, models=("a", "b", "c"), ragged=False)
     out = G.rank_stability(frame(spark, rows), 20, 3)
     assert units == [3] and out.count() == len(rows)
+
+
+@pytest.mark.parametrize("n", [7, 2_500, 17_000])
+def test_models_with_other_outcomes_and_many_ties_against_plain_ranks(n):
+    """Sums of tied values come from running sums or value by value; memory used again by one model must not reach another."""
+    r = np.random.default_rng(n)
+    x = r.integers(0, n, n).astype(float)
+    held = [(x, r.random(n)), (x, np.floor(r.random(n) * n / 2)), (r.random(n), x), (x, np.floor(r.random(n) * 3)), (x, np.ones(n))]
+    keys = D.draw_keys(8, np.arange(3))
+    boot, null = D.evaluated(D.Resampled, held, 8, n, 0, 3), D.evaluated(D.Permuted, [(D.average_ranks(a), D.average_ranks(b)) for a, b in held], 8, n, 0, 3)
+    for d in range(3):
+        at, to = D.picked(keys[d : d + 1], np.arange(n), n)[0], D.permuted(keys[d : d + 1], np.arange(n), n)[0]
+        for g, (a, b) in enumerate(held):
+            for ic, p, q in ((boot[g, d], D.standard(D.average_ranks(a[at])), D.standard(D.average_ranks(b[at]))), (null[g, d], D.standard(D.average_ranks(a)[to]), D.standard(D.average_ranks(b)))):
+                assert np.isnan(ic) if p is None or q is None else abs(ic - p @ q) < 1e-9
+
+
+def test_a_draw_takes_no_fresh_memory():
+    """Each draw of a large group took a dozen new arrays of its size, whose pages cost more than the draw."""
+    n = 200_000
+    x, y = np.random.default_rng(1).random((2, n))
+    for statistic in (D.Permuted, D.Resampled):
+        made = statistic(x, y)
+        for d in range(2):
+            made.ics(statistic.drawn(D.draw_keys(1, np.array([d])), n))
+        tracemalloc.start()
+        made.ics(statistic.drawn(D.draw_keys(1, np.array([3])), n))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 2 * 8 * n, (statistic, peak / n)
+
+
+def test_groups_of_millions_of_rows_are_not_joined_draw_by_draw(spark):
+    """A model's rows of all years at six times the large tables: draws times rows would pass a shuffle."""
+    groups = spark.createDataFrame([(k, 2_160_000) for k in range(3)], "key long, n long")
+    copies, _, larger = D.unit_plan(groups, 2_000)
+    assert not larger and copies <= D.UNITS
